@@ -14,6 +14,11 @@ N_CODEPOINTS = 0x110000
 #: Batches are cut into runs of at most this many characters, so that temporary arrays stay small.
 CHUNK_CHARS = 2_000_000
 
+#: Letters that look like Latin ones (fixed values).
+LOOKALIKES = dict(zip(
+    "АВСЕНІЈКМОРЅТХУасԁеһіјорѕԛԝхуѵ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορτυχ",
+    "ABCEHIJKMOPSTXYacdehijopsqwxyv" + "ABEZHIKMNOPTYXaikvoptux",
+))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -75,3 +80,27 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 def record_batches(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def hashed_counts(df: DataFrame, buckets: int, of_texts, least: int = 2) -> np.ndarray:
+    """Counts over all rows of df's only column of the hashes that of_texts gives for a batch of texts.
+
+    Every partition sums up in an array of fixed size and sends its non-zero places once; the driver gets at most
+    `buckets` rows, whatever the input. Sums below `least` are left at 0.
+    """
+
+    def count(batches):
+        total = np.zeros(buckets, np.int64)
+        for b in batches:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            for first, last in chunks(texts):
+                total += np.bincount(of_texts(texts[first:last]), minlength=buckets)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 200_000].astype(np.int32)), pa.array(total[at[i : i + 200_000]])], names=["bucket", "n"])
+
+    sums = df.mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = np.zeros(buckets, np.int64)
+    table = sums.toArrow()
+    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
+    return out

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examforge.llm import formatdup, leakage, mixture, splitter
+from examforge.llm import confusables, formatdup, leakage, mixture, mojibake, scanfix, splitter
 from examforge.llm.common import read
 
 
+def p1_found(spark, d):
+    return mojibake.repaired_fields(read(spark, d, "questions")).select("row_id", "field_no")
+
+
+def p1_repaired(spark, d):
+    return mojibake.repaired_fields(read(spark, d, "questions"))
+
+
+def p2_found(spark, d):
+    return confusables.normalized_fields(read(spark, d, "questions")).select("row_id", "field_no")
+
+
+def p2_normalized(spark, d):
+    return confusables.normalized_fields(read(spark, d, "questions"))
+
+
 def p3_found(spark, d):
     return formatdup.copy_pairs(read(spark, d, "questions")).select(F.col("first_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 
@@ -16,6 +32,14 @@ def p3_copy_counts(spark, d):
     return formatdup.collapsed(read(spark, d, "questions")).select("row_id", "n_copies")
 
 
+def p5_found(spark, d):
+    return scanfix.repaired_fields(read(spark, d, "questions")).select("row_id", "field_no")
+
+
+def p5_repaired(spark, d):
+    return scanfix.repaired_fields(read(spark, d, "questions"))
+
+
 def p6_found(spark, d):
     return leakage.exact_leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
