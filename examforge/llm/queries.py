@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from examforge.llm import confusables, formatdup, leakage, mixture, mojibake, scanfix, splitter
+from examforge.llm import confusables, formatdup, leakage, mixture, mojibake, neardup, scanfix, splitter
 from examforge.llm.common import read
 
 
@@ -32,6 +32,14 @@ def p3_copy_counts(spark, d):
     return formatdup.collapsed(read(spark, d, "questions")).select("row_id", "n_copies")
 
 
+def p4_found(spark, d):
+    return neardup.row_pairs(read(spark, d, "questions")).select("row_id_a", "row_id_b")
+
+
+def p4_groups(spark, d):
+    return neardup.groups(read(spark, d, "questions"))
+
+
 def p5_found(spark, d):
     return scanfix.repaired_fields(read(spark, d, "questions")).select("row_id", "field_no")
 

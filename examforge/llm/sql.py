@@ -15,11 +15,24 @@ _REDUCED = f"""
 """
 
 
+_SIMILAR = f"""
+    r AS ({_REDUCED}),
+    t AS (SELECT row_id, q, o, q || array_to_string(o, '') AS s FROM r),
+    g AS (SELECT DISTINCT row_id, substr(s, CAST(i AS BIGINT), 3) AS w FROM t, range(1, 100000) x(i) WHERE i <= length(s) - 2),
+    n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+    c AS (SELECT a.row_id AS a, b.row_id AS b, count(*) AS k FROM g a JOIN g b ON a.w = b.w AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id),
+    p AS (SELECT c.a AS row_id_a, c.b AS row_id_b FROM c JOIN n x ON x.row_id = c.a JOIN n y ON y.row_id = c.b
+          JOIN t u ON u.row_id = c.a JOIN t v ON v.row_id = c.b
+          WHERE 10 * k >= 7 * (x.n + y.n - k) AND NOT (u.q = v.q AND u.o = v.o))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"""
             WITH r AS ({_REDUCED}), g AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, o) AS first_id FROM r)
             SELECT first_id AS row_id_a, row_id AS row_id_b FROM g WHERE row_id > first_id""",
+        "p4_found": f"WITH {_SIMILAR} SELECT row_id_a, row_id_b FROM p",
         "p3_copy_counts": f"""
             WITH r AS ({_REDUCED}) SELECT min(row_id) AS row_id, CAST(count(*) AS BIGINT) AS n_copies FROM r GROUP BY q, o""",
     }
