@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from examforge.plans import attempts, quizzes
+
+MODULES = (attempts, quizzes)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for m in MODULES for name, s in m.plans.sql.items()}
