@@ -60,7 +60,7 @@ def patched(questions: DataFrame, overrides: DataFrame) -> DataFrame:
 def group_key(bank: Column, groupid: Column, materials: Column) -> Column:
     """Bank with the explicit group, else with the first reading text's title and content; null if it stands alone."""
     text = F.filter(materials, lambda m: (F.lower(m["type"]) == "text") & (F.coalesce(F.length(m["content"]), F.lit(0)) > 0))
-    passage = F.when(F.size(text) > 0, F.concat_ws("\x1f", F.lit("m"), F.coalesce(text[0]["title"], F.lit("")), text[0]["content"]))
+    passage = F.when(F.size(text) > 0, F.concat_ws("\x1f", F.lit("m"), F.coalesce(F.get(text, F.lit(0))["title"], F.lit("")), F.get(text, F.lit(0))["content"]))
     key = F.coalesce(F.when(F.nullif(groupid, F.lit("")).isNotNull(), F.concat_ws("\x1f", F.lit("g"), groupid)), passage)
     return F.when(key.isNotNull(), F.concat_ws("\x1e", bank, key))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from examforge.plans import attempts, quizzes
+from examforge.plans import attempts, catalog, checks, quizzes, texts
 
-MODULES = (attempts, quizzes)
+MODULES = (attempts, quizzes, catalog, texts, checks)
 
 
 def queries() -> dict:
