@@ -9,7 +9,7 @@ decides the order). Each set enters the index lists of its rarest shingles, as m
 kept in blocks of equal set size, sorted by the shingle's position in the set. Of two sets of m and n shingles the
 overlap must reach A = t / (1 + t) * (m + n); a first common shingle at position p of m allows m - p at most, so block
 by block everything behind position m - A is skipped without being touched, and so are blocks of sizes out of range.
-What is left is bounded by parity bitmaps of 128 bits (their differing bits never exceed the sets' differing shingles)
+What is left is bounded by parity bitmaps of 256 bits (their differing bits never exceed the sets' differing shingles)
 and by an exact count of the shingles. No pair is lost, none is capped.
 
 A list longer than LIST rows is cut into parts by the sets' hash, and every pair of parts is a task of its own.
@@ -34,8 +34,10 @@ from examforge.session import checkpointed
 THRESHOLD = 0.7
 RARITY = 1 << 20
 LIST = 40_000
-#: Pairs compared at once.
-STEP = 1 << 21
+#: Lists up to this length are compared row by row, longer ones block by block.
+SHORT = 2_000
+#: Pairs compared at once; more than any set has shingles.
+STEP, SIZES = 1 << 20, 1 << 32
 
 
 def reduced_texts(questions: list[str], options: list[list]) -> list[str]:
@@ -77,14 +79,20 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(reduced_texts(b.column(1).to_pylist(), b.column(2).to_pylist()), pa.string())], names=["id", "text"])
 
 
-def _bitmap(tokens: np.ndarray) -> tuple[int, int]:
-    h = mix64(tokens.view(np.uint64) ^ np.uint64(0x51ED)) & np.uint64(127)
-    bits = np.bincount(h.astype(np.int64), minlength=128) & 1
-    return tuple(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist())
+#: Words of 64 bits in a set's bitmap.
+WORDS = 4
+_BITS = [f"b{i}" for i in range(WORDS)]
 
 
-_ENTRY = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("b0", pa.int64()), ("b1", pa.int64())])
-_ENTRY_SQL = "token bigint, part int, own int, id bigint, size int, pos int, b0 bigint, b1 bigint"
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    """Parity of the set's shingles in each of 64 * WORDS hash classes."""
+    h = mix64(tokens.view(np.uint64) ^ np.uint64(0x51ED)) & np.uint64(64 * WORDS - 1)
+    bits = np.bincount(h.astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+_ENTRY = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), *((b, pa.int64()) for b in _BITS)])
+_ENTRY_SQL = "token bigint, part int, own int, id bigint, size int, pos int, " + ", ".join(f"{b} bigint" for b in _BITS)
 
 
 def index_entries(texts: DataFrame, rarity, t: float) -> DataFrame:
@@ -108,9 +116,8 @@ def index_entries(texts: DataFrame, rarity, t: float) -> DataFrame:
                 each = np.repeat(np.arange(len(first)), parts)  # a row for every part that the set must meet
                 other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
                 low, high = np.minimum(own[each], other), np.maximum(own[each], other)
-                b0, b1 = _bitmap(tokens)
                 k = len(each)
-                for c, v in zip(cols, (tokens[first][each], low * 1000 + high, own[each], np.full(k, id_), np.full(k, m), pos[each], np.full(k, b0), np.full(k, b1))):
+                for c, v in zip(cols, (tokens[first][each], low * 1000 + high, own[each], np.full(k, id_), np.full(k, m), pos[each], *(np.full(k, w) for w in _bitmap(tokens)))):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ENTRY)], schema=_ENTRY)
@@ -119,30 +126,39 @@ def index_entries(texts: DataFrame, rarity, t: float) -> DataFrame:
 
 
 def _apart(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(e["b0"][x] ^ e["b0"][y]) + np.bitwise_count(e["b1"][x] ^ e["b1"][y])
+    """Differing bits of the bitmaps of rows x and y (arrays that broadcast)."""
+    d = np.bitwise_count(e["b0"][x] ^ e["b0"][y]).astype(np.int16)
+    for b in _BITS[1:]:
+        d += np.bitwise_count(e[b][x] ^ e[b][y])
+    return d
 
 
 def list_pairs(e: dict[str, np.ndarray], starts: np.ndarray, t: float):
     """Candidate pairs (row numbers) of the lists that begin at starts; rows are sorted by list, size and position."""
     ends = np.append(starts[1:], len(e["id"]))
-    small = [(a, b) for a, b in zip(starts, ends) if 1 < b - a <= 48]
-    if small:
-        # short lists all at once: every row against the rows behind it in its list
-        rows = np.concatenate([np.arange(a, b) for a, b in small])
-        last = np.concatenate([np.full(b - a, b) for a, b in small])
-        for c in range(0, len(rows), 40_000):
-            r, n = rows[c : c + 40_000], (last - rows - 1)[c : c + 40_000]
-            x = np.repeat(r, n)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            m, k = e["size"][x], e["size"][y]
-            least = needed(m, k, t)
-            ok = (m >= t * k - 1e-9) & (np.minimum(m - e["pos"][x], k - e["pos"][y]) >= least)
-            x, y, m, k, least = x[ok], y[ok], m[ok], k[ok], least[ok]
-            ok = _apart(e, x, y) <= m + k - 2 * least
-            yield x[ok], y[ok]
-    for a, b in zip(starts, ends):
-        if b - a <= 48:
-            continue
+    short = ends - starts <= SHORT
+    of = np.repeat(np.arange(len(starts)), ends - starts)  # the list of each row
+    # short lists all at once: each row that may be the smaller side against those behind it, up to the largest size
+    m = e["size"].astype(np.int64)
+    rows = np.flatnonzero(short[of] & (m - e["pos"] >= needed(m, m, t)))
+    key = of * SIZES + m
+    last = np.searchsorted(key, of[rows] * SIZES + np.floor(m[rows] / t + 1e-9).astype(np.int64), "right")
+    n = last - rows - 1
+    upto = np.cumsum(n)
+    first = 0
+    while first < len(rows):
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + STEP, "right")))
+        r, k = rows[first:end], n[first:end]
+        first = end
+        x = np.repeat(r, k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        mx, my = m[x], m[y]
+        least = needed(mx, my, t)
+        ok = np.flatnonzero(np.minimum(mx - e["pos"][x], my - e["pos"][y]) >= least)
+        x, y, most = x[ok], y[ok], (mx + my - 2 * least)[ok]
+        ok = _apart(e, x, y) <= most
+        yield x[ok], y[ok]
+    for a, b in zip(starts[~short].tolist(), ends[~short].tolist()):
         size, pos = e["size"][a:b], e["pos"][a:b]
         blocks = np.flatnonzero(np.append(True, size[1:] != size[:-1])).tolist() + [b - a]
         for i in range(len(blocks) - 1):
@@ -158,8 +174,7 @@ def list_pairs(e: dict[str, np.ndarray], starts: np.ndarray, t: float):
                     continue
                 for c in range(0, len(x), max(1, STEP // len(y))):
                     xs = x[c : c + max(1, STEP // len(y))]
-                    d = np.bitwise_count(e["b0"][xs][:, None] ^ e["b0"][y][None, :]) + np.bitwise_count(e["b1"][xs][:, None] ^ e["b1"][y][None, :])
-                    u, v = np.nonzero(d <= m + n - 2 * least)
+                    u, v = np.nonzero(_apart(e, xs[:, None], y[None, :]) <= m + n - 2 * least)
                     u, v = xs[u], y[v]
                     ok = u < v if i == j else np.ones(len(u), bool)
                     yield u[ok], v[ok]
@@ -174,7 +189,7 @@ def _candidates(t: float):
             nonlocal waiting, size
             table = pa.Table.from_batches(waiting).combine_chunks()
             e = {f: table.column(f).to_numpy() for f in table.column_names}
-            e["b0"], e["b1"] = e["b0"].view(np.uint64), e["b1"].view(np.uint64)  # counting bits of signed numbers drops the sign
+            e |= {b: e[b].view(np.uint64) for b in _BITS}  # of signed numbers the absolute value's bits would count
             new = np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["part"][1:] != e["part"][:-1]))
             starts = np.flatnonzero(new)
             upto = len(new) if final else int(starts[-1])  # the last list may go on
