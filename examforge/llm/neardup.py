@@ -95,7 +95,7 @@ _ENTRY = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("own", pa.int3
 _ENTRY_SQL = "token bigint, part int, own int, id bigint, size int, pos int, " + ", ".join(f"{b} bigint" for b in _BITS)
 
 
-def index_entries(texts: DataFrame, rarity, t: float) -> DataFrame:
+def index_entries(texts: DataFrame, rarity, t: float, list_rows: int = LIST) -> DataFrame:
     """The index lists' rows: each set under its rarest shingles; shingles that no other set has are left out."""
 
     def entries(batches):
@@ -111,7 +111,7 @@ def index_entries(texts: DataFrame, rarity, t: float) -> DataFrame:
                 first = np.lexsort((tokens, often))[: m - math.ceil(t * m - 1e-9) + 1]
                 pos = np.flatnonzero(often[first] > 1)
                 first = first[pos]
-                parts = -(-often[first] // LIST)
+                parts = -(-often[first] // list_rows)
                 own = (mix64(np.array([id_], np.int64).view(np.uint64))[0] >> np.uint64(33)).astype(np.int64) % parts
                 each = np.repeat(np.arange(len(first)), parts)  # a row for every part that the set must meet
                 other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -217,11 +217,11 @@ def _candidates(t: float):
     return meet
 
 
-def similar_classes(texts: DataFrame, t: float = THRESHOLD) -> DataFrame:
+def similar_classes(texts: DataFrame, t: float = THRESHOLD, list_rows: int = LIST) -> DataFrame:
     """(a, b, similarity): pairs of ids a < b whose texts' sets have Jaccard similarity t or more. texts: id, text."""
     counts = hashed_counts(texts.select("text"), RARITY, lambda ts: _rarity(np.concatenate([shingles(x) for x in ts] or [np.zeros(0, np.int64)])))
     rarity = texts.sparkSession.sparkContext.broadcast(np.maximum(counts, 1).astype(np.int32))  # fixed size
-    lists = index_entries(texts, rarity, t).repartition("token", "part").sortWithinPartitions("token", "part", "size", "pos")
+    lists = index_entries(texts, rarity, t, list_rows).repartition("token", "part").sortWithinPartitions("token", "part", "size", "pos")
     candidates = lists.mapInArrow(_candidates(t), "a bigint, b bigint").distinct()
     sides = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 

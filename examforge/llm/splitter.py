@@ -53,31 +53,36 @@ def split(text: str, max_tokens: int, overlap_tokens: int, tokenizer: str | None
         offsets = chars[np.fromiter((m.start() for m in pattern.finditer(text)), np.int64)]
         tokens = np.searchsorted(at, offsets)
         levels.append(np.unique(tokens[at[tokens] == offsets]))
-    pieces, start = [], 0
+    after = lambda k: int(whole[np.searchsorted(whole, k, "right")])  # noqa: E731 - the next character's token
+    pieces, start, last = [], 0, 0
     while True:
         limit = start + max_tokens
         while True:
-            end = len(ends) if limit >= len(ends) else _cut(levels, whole, start, limit)
-            piece = raw[at[start] : at[end]].decode("utf-8")
-            n = count_tokens([piece], tokenizer)[0]
-            if n <= max_tokens or end - start <= 1 or end <= whole[np.searchsorted(whole, start, "right")]:
+            end = len(ends) if limit >= len(ends) else _cut(levels, whole, start, limit, last)
+            n = count_tokens([raw[at[start] : at[end]].decode("utf-8")], tokenizer)[0]
+            if n <= max_tokens or end <= after(start):
                 break
-            limit = end - 1
+            if end > after(last):
+                limit = end - 1
+            else:  # no room behind the last piece: give up some of the overlap
+                start = after(start)
+                limit = start + max_tokens
         pieces.append((int(np.searchsorted(chars, at[start])), int(np.searchsorted(chars, at[end])), n))
         if end == len(ends):
             return pieces
-        back = whole[max(np.searchsorted(whole, end - overlap, "right") - 1, 0)]
-        start = int(back) if back > start else int(end)
+        last = end
+        start = max(int(whole[np.searchsorted(whole, end - overlap, "right") - 1]), after(start))
 
 
-def _cut(levels: list[np.ndarray], whole: np.ndarray, start: int, limit: int) -> int:
-    least = start + max(1, int((limit - start) * MIN_FILL))
+def _cut(levels: list[np.ndarray], whole: np.ndarray, start: int, limit: int, last: int) -> int:
+    """Token at which a piece from start ends: at most limit, behind the last piece's end."""
+    least = max(start + max(1, int((limit - start) * MIN_FILL)), last + 1)
     for cuts in levels:
         k = np.searchsorted(cuts, limit, "right") - 1
         if k >= 0 and cuts[k] >= least:
             return int(cuts[k])
-    k = np.searchsorted(whole, limit, "right") - 1
-    return int(whole[k]) if whole[k] > start else int(whole[min(k + 1, len(whole) - 1)])
+    k = int(whole[np.searchsorted(whole, limit, "right") - 1])
+    return k if k > max(start, last) else int(whole[np.searchsorted(whole, max(start, last), "right")])
 
 
 _OUT = "doc_id bigint, piece_no int, start_char bigint, end_char bigint, n_tokens bigint, piece string, n_pieces int"
