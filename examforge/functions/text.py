@@ -80,7 +80,7 @@ def token_estimate(text: Column) -> Column:
 def fences_stripped(text: Column) -> Column:
     """A model's answer without code fences and thinking, for try_parse_json."""
     t = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.trim(F.regexp_replace(t, r"(?m)^```[a-z]*\s*$", ""))
+    return F.btrim(F.regexp_replace(t, r"(?m)^```[a-z]*\s*$", ""), F.lit(" \t\r\n"))
 
 
 def noise_line(line: Column) -> Column:

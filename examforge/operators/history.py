@@ -21,7 +21,8 @@ def or_empty(c: str | Column) -> Column:
 def resolved(attempts: DataFrame, sessions: DataFrame, default_bank: str = DEFAULT_BANK) -> DataFrame:
     """Attempts once each, with the bank of the item, else of the session, else the default; `answered`, `day` (UTC)."""
     s = sessions.select("session_id", F.col("bank").alias("s_bank"), F.col("date_iso").alias("session_at"))
-    joined = attempts.join(s, "session_id", "left").dropDuplicates(["session_id", "pos"])
+    a = attempts.select("session_id", "pos", "user_id", "bank", "qid", "user_answer", "correct")
+    joined = a.join(s, "session_id", "left").dropDuplicates(["session_id", "pos"])
     return joined.select(
         "session_id", "pos", "user_id", F.coalesce(or_empty("bank"), or_empty("s_bank"), F.lit(default_bank)).alias("bank"), "qid", "user_answer",
         F.coalesce("correct", F.lit(False)).alias("correct"), grading.answered(F.col("user_answer")).alias("answered"), "session_at", F.to_date("session_at").alias("day"),
