@@ -9,7 +9,7 @@ decides the order). Each set enters the index lists of its rarest shingles, as m
 kept in blocks of equal set size, sorted by the shingle's position in the set. Of two sets of m and n shingles the
 overlap must reach A = t / (1 + t) * (m + n); a first common shingle at position p of m allows m - p at most, so block
 by block everything behind position m - A is skipped without being touched, and so are blocks of sizes out of range.
-What is left is bounded by parity bitmaps of 256 bits (their differing bits never exceed the sets' differing shingles)
+What is left is bounded by parity bitmaps of 384 bits (their differing bits never exceed the sets' differing shingles)
 and by an exact count of the shingles. No pair is lost, none is capped.
 
 A list longer than LIST rows is cut into parts by the sets' hash, and every pair of parts is a task of its own.
@@ -80,13 +80,13 @@ def _texts(batches):
 
 
 #: Words of 64 bits in a set's bitmap.
-WORDS = 4
+WORDS = 6
 _BITS = [f"b{i}" for i in range(WORDS)]
 
 
 def _bitmap(tokens: np.ndarray) -> list[int]:
     """Parity of the set's shingles in each of 64 * WORDS hash classes."""
-    h = mix64(tokens.view(np.uint64) ^ np.uint64(0x51ED)) & np.uint64(64 * WORDS - 1)
+    h = mix64(tokens.view(np.uint64) ^ np.uint64(0x51ED)) % np.uint64(64 * WORDS)
     bits = np.bincount(h.astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
