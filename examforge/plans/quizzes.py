@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from examforge.functions import grading, rendering
-from examforge.operators import quiz
+from examforge.functions import grading, parsing, rendering
+from examforge.operators import imports, quiz, segment
 from examforge.plans.attempts import LOG, log
 from examforge.plans.base import Plans, table
 
@@ -137,3 +137,43 @@ def tagged_questions(spark, d):
     )
     q = table(spark, d, "questions").select("row_id", "bank", "id").join(o, ["bank", "id"], "left").withColumn("tag", F.coalesce("tag", F.lit("")))
     return q.where(F.col("tag") != "exclude").select("row_id", "tag")
+
+
+_XREF = "以上皆|以下皆|上述|前述|[甲乙丙丁]{2,}|僅[甲乙丙丁]|[（(]?[A-D][)）]?\\s*[和與及、]\\s*[（(]?[A-D]|選項\\s*[A-D1-4]"
+
+
+@plans.add(f"""
+    SELECT row_id, coalesce(array_to_string(list_transform(options, lambda o: upper(regexp_replace(o, '\\s+', '', 'g'))), '') IN ('ABCD', '1234')
+           OR len(list_filter(options, lambda o: regexp_matches(upper(o), '{_XREF}'))) > 0, false) AS locked FROM questions""")
+def locked_options(spark, d):
+    return table(spark, d, "questions").select("row_id", parsing.locked(F.col("options")).alias("locked"))
+
+
+@plans.add("""
+    SELECT row_id, coalesce(regexp_matches(question, '如(下|上|左|右|附)?\\s*圖|圖\\s*\\d+|下圖|附圖|如圖所示|見圖'), false) AS image,
+           coalesce(regexp_matches(question, '如(下|上|附)?\\s*表|下表|附表|表\\s*\\d+'), false) AS sheet FROM questions""")
+def media_hints(spark, d):
+    q = F.col("question")
+    return table(spark, d, "questions").select("row_id", parsing.needs_image(q).alias("image"), parsing.needs_table(q).alias("sheet"))
+
+
+@plans.add("""
+    SELECT q.row_id, coalesce(k.answer, '0') AS answer, k.bank IS NOT NULL AS found, k.bank IS NOT NULL AND k.answer IS NULL AS free FROM questions q
+    LEFT JOIN (SELECT bank, id, answer FROM (SELECT *, row_number() OVER (PARTITION BY bank, id ORDER BY row_id) AS n FROM questions WHERE freescore IS NOT NULL) WHERE n = 1) k ON k.bank = q.bank AND k.id = q.id""")
+def answer_key_join(spark, d):
+    q = table(spark, d, "questions").select("row_id", "bank", "id", "answer", "freescore")
+    key = q.where(F.col("freescore").isNotNull()).select("bank", "id", F.col("row_id").alias("order"), "answer")
+    return imports.keyed_answers(q.drop("freescore"), key, ["bank", "id"]).select("row_id", "answer", "found", "free")
+
+
+@plans.add()
+def lettered_records(spark, d):
+    docs = table(spark, d, "documents").where(F.col("source") == "exam_archive")
+    rows = segment.sessions(segment.lines(docs), "doc_id", F.col("line").rlike(r"^\d{1,3}\s*[.、．]"))
+    split = rows.where("group_no > 0").select("doc_id", "group_no", parsing.lettered_options(F.col("text")).alias("q"))
+    return split.select("doc_id", "group_no", "q.stem", F.array_join("q.options", "\x1f").alias("options"))
+
+
+@plans.add()
+def merged_exam_lines(spark, d):
+    return imports.merged_lines(segment.lines(table(spark, d, "documents").where(F.col("source") == "exam_archive")), "doc_id")
