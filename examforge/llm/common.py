@@ -64,10 +64,16 @@ def digit_table() -> np.ndarray:
     return t
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer partitions than there are cores (a small one) is spread over them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def question_fields(questions: DataFrame) -> DataFrame:
     """(row_id, field_no, text): field 0 is the question, 1, 2, ... are the options in stored order; null texts are left out."""
     options = F.coalesce(F.col("options"), F.array().cast("array<string>"))
-    return questions.select(
+    return spread(questions.select("row_id", "question", "options")).select(
         F.col("row_id").cast("bigint").alias("row_id"),
         F.posexplode(F.concat(F.array(F.col("question")), options)).alias("field_no", "text"),
     ).where(F.col("text").isNotNull()).select("row_id", F.col("field_no").cast("bigint").alias("field_no"), "text")

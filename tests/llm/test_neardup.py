@@ -50,7 +50,7 @@ def test_cut_lists_lose_nothing(spark, rows):
 def test_blocks_and_rows_give_the_same_candidates(monkeypatch):
     r = np.random.default_rng(3)
     n = 300
-    e = {"id": np.arange(n), "size": np.sort(r.integers(20, 60, n)).astype(np.int32), "pos": r.integers(0, 12, n).astype(np.int32)} | {b: r.integers(0, 2**12, n).astype(np.uint64) for b in neardup._BITS}
+    e = {"id": np.arange(n), "size": np.sort(r.integers(20, 60, n)).astype(np.int32), "pos": r.integers(0, 12, n).astype(np.int32)} | {b: r.integers(0, 2**3, n).astype(np.uint64) for b in neardup._BITS}
     order = np.lexsort((e["pos"], e["size"]))
     e = {k: v[order] for k, v in e.items()}
     found = []
