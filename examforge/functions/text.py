@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = r"一-鿿"
 #: Full-width ASCII and what it stands for.
@@ -91,3 +96,18 @@ def noise_line(line: Column) -> Column:
 def roc_year(date: Column) -> Column:
     """Gregorian year of a date whose year comes before the first slash, counted from 1912."""
     return F.split_part(date, F.lit("/"), F.lit(1)).try_cast("int") + 1911
+
+
+def compare_key(text: Column) -> Column:
+    """NFKC without white space, punctuation and `(cid:n)` marks, for comparing extracted texts. NFKC has no built-in,
+    so this runs on Arrow batches."""
+
+    def key(s: str) -> str:
+        s = unicodedata.normalize("NFKC", re.sub(r"\(cid:\d+\)", "", s))
+        return "".join(c for c in s if not c.isspace() and unicodedata.category(c)[0] != "P")
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(key, na_action="ignore")
+
+    return run(text)

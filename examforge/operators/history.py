@@ -107,7 +107,16 @@ def bank_facets(pools: DataFrame) -> DataFrame:
 
 
 def rate_windows(events: DataFrame, by: str, at: str, weight: Column, seconds: int, most_requests: int, most_weight: float) -> DataFrame:
-    """Requests and weight of the last `seconds` seconds up to each event, and whether a limiter would hold it back."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    out = events.withColumn("n_requests", F.count("*").over(w)).withColumn("sum_weight", F.sum(weight).over(w))
-    return out.withColumn("held", (F.col("n_requests") > most_requests) | (F.col("sum_weight") > most_weight))
+    """Requests and weight of the last `seconds` seconds up to each event, and whether a limiter would hold it back.
+
+    A user's events are cut into days (or four spans, if that is longer); those of the last span of a day also go to the
+    next one as context, so that a user with a third of all events is spread over as many tasks as there are days. Events without a time are left out.
+    """
+    span, day = seconds * 1_000_000, max(86_400, 4 * seconds) * 1_000_000
+    e = events.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_w", weight)
+    e = e.withColumn("_day", F.floor(F.col("_us") / day))
+    near = F.col("_us") >= (F.col("_day") + 1) * day - span
+    e = e.withColumn("_in", F.explode(F.when(near, F.array("_day", F.col("_day") + 1)).otherwise(F.array("_day"))))
+    w = Window.partitionBy(by, "_in").orderBy("_us").rangeBetween(1 - span, 0)
+    out = e.withColumn("n_requests", F.count("*").over(w)).withColumn("sum_weight", F.sum("_w").over(w)).where(F.col("_in") == F.col("_day"))
+    return out.withColumn("held", (F.col("n_requests") > most_requests) | (F.col("sum_weight") > most_weight)).drop("_us", "_w", "_day", "_in")

@@ -66,11 +66,15 @@ def group_key(bank: Column, groupid: Column, materials: Column) -> Column:
 
 
 def blocks(questions: DataFrame, order: str = "row_id") -> DataFrame:
-    """Adds block (the smallest order value of the question's group, its own if it stands alone) and block_size."""
-    key = group_key(F.col("bank"), F.col("groupid"), F.col("materials"))
-    q = questions.withColumn("_key", F.coalesce(key, F.concat_ws("\x1d", F.lit("s"), F.col(order).cast("string"))))
-    w = Window.partitionBy("_key")
-    return q.withColumn("block", F.min(order).over(w)).withColumn("block_size", F.count("*").over(w)).drop("_key")
+    """Adds block (the smallest order value of the question's group, its own if it stands alone) and block_size.
+
+    Groups are aggregated first and joined back, so a group that holds a third of all rows is combined map-side and its
+    rows can be split by a skew join; questions that stand alone aren't shuffled at all.
+    """
+    q = questions.withColumn("_key", group_key(F.col("bank"), F.col("groupid"), F.col("materials")))
+    sizes = q.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(order).alias("block"), F.count("*").alias("block_size"))
+    alone = q.where(F.col("_key").isNull()).withColumn("block", F.col(order)).withColumn("block_size", F.lit(1).cast("bigint"))
+    return alone.drop("_key").unionByName(q.join(sizes, "_key").drop("_key"))
 
 
 def sampling_key(seed: str, times: Column, *key: Column) -> Column:

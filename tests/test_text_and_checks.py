@@ -18,7 +18,7 @@ def test_chinese_numbers(spark, numeral, n):
 
 @pytest.mark.parametrize("f, before, after", [
     (T.gaps_joined, "臺 灣 水 利", "臺灣 水利"), (T.spaced, "共１２組ＡＢ型", "共 12 組 AB 型"), (T.stem, "甲、乙？ A_b ①½é", "甲乙a_b①½é"),
-    (T.fences_stripped, "<think>x</think>\n```json\n{}\n```", "{}"), (T.powers_joined, "10 ^ 3 與 10 -3", "10^3 與 10^-3"),
+    (T.fences_stripped, "<think>x</think>\n```json\n{}\n```", "{}"), (T.powers_joined, "10 ^ 3 與 10 -3", "10^3 與 10^-3"), (T.compare_key, "Ａ１ ，㎡(cid:12)。b", "A1m2b"),
 ])
 def test_normalization(spark, f, before, after):
     assert one(spark, f, before) == after
@@ -108,6 +108,17 @@ def test_rectangles_against_brute_force(spark, rows):
     assert rows(ranges.intersecting(spark.createDataFrame(a, s), spark.createDataFrame(b, s), 5.0)) == want
 
 
+def test_rate_windows_across_days(spark, rows):
+    import datetime as dt
+
+    from examforge.operators import history
+
+    day = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(1, 7, day + dt.timedelta(hours=23, minutes=50), 1.0), (2, 7, day + dt.timedelta(hours=24, minutes=5), 2.0), (3, 7, day + dt.timedelta(hours=26), 4.0), (4, 8, day, 1.0), (5, 7, None, 1.0)], "id int, u int, at timestamp, v double")
+    got = history.rate_windows(e, "u", "at", F.col("v"), 3600, 1, 100.0)
+    assert rows(got.select("id", "n_requests", "sum_weight", "held")) == [(1, 1, 1.0, False), (2, 2, 3.0, True), (3, 1, 4.0, False), (4, 1, 1.0, False)]
+
+
 def test_routing(spark):
     df = spark.createDataFrame([(1, True, None, 5, None, 0.0, False), (2, False, True, 10, 40, 0.6, False), (3, False, None, 5, None, 0.1, False), (4, False, False, 30, 10, 0.0, False)], "i int, p1 boolean, p2 boolean, c1 int, c2 int, similarity double, strong boolean")
     got = {r.i: (r.route, r.affected, r.confidence, r.disagreed, r.batch) for r in audit.routed(df).collect()}
