@@ -11,8 +11,8 @@ walk; windows with the same sample are candidates. Equal windows have equal embe
 certainty by one repetition; with edits, a candidate is missed with probability (1 - q)^repetitions, q the chance that
 one sample agrees.
 
-Candidates are verified: exactly (the run around the window has R characters in both texts), or by the edit distance of
-the item-sized stretches around the window.
+Candidates are verified: exactly (the run around the window has R characters in both texts), or by the least edit
+distance of the passage to any part of the document around the window.
 
 Defined cases: null or empty texts and passages give nothing; an item whose squashed passage is shorter than its run
 length can't leak; a null or other lang counts as `zh`; repeated rows give one pair. Empty tables give no rows.
@@ -114,6 +114,7 @@ class Index:
         self.cps, self.starts = squashed([p for _, _, p in items])
         self.lang = np.array(["en" if lang == "en" else "zh" for _, lang, _ in items])
         self.parts = []
+        self.bits: dict[int, dict[int, int]] = {}
         for lang in WINDOW:
             w = WINDOW[lang]
             at = [np.arange(s, e - w + 1) for s, e, k in zip(self.starts[:-1], self.starts[1:], self.lang) if k == lang and e - s >= RUN[lang]]
@@ -183,21 +184,69 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row[-1], most + 1))
 
 
+def passage_bits(passage: np.ndarray) -> dict[int, int]:
+    """For each character of a passage the bits of its places in it."""
+    bits: dict[int, int] = {}
+    for j, c in enumerate(passage.tolist()):
+        bits[c] = bits.get(c, 0) | 1 << j
+    return bits
+
+
+def nearest(bits: dict[int, int], length: int, text: np.ndarray) -> int:
+    """Least edit distance of a passage to any part of a text: Myers' bit-parallel search, with free ends in the text."""
+    if not length:
+        return 0
+    mask, top = (1 << length) - 1, 1 << (length - 1)
+    up, down, now = mask, 0, length
+    best = length
+    for c in text.tolist():
+        eq = bits.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | mask & ~(h | up), up & h
+        if more & top:
+            now += 1
+        elif less & top:
+            now -= 1
+            if now < best:
+                best = now
+                if not best:
+                    break
+        more = more << 1 & mask
+        up, down = (less << 1 | ~(v | more)) & mask, more & v
+    return best
+
+
+def most_edits(length, share: float):
+    """Edits that a passage of so many characters may have; a product that is whole but for its rounding counts as whole."""
+    return np.floor((1 - share) * length + 1e-9).astype(np.int64)
+
+
 def _edited(index: Index, cps, starts, lang, doc, place, at, item, share: float):
-    """Best similarity of each (document, item): 1 - edits / passage length, over alignments given by candidates."""
+    """Best similarity of each (document, item): 1 - edits / passage length, with free ends in the document.
+
+    Edits before a window move the passage's ends by up to as many characters, and its sampled symbols may lie as far
+    apart as the window is wide, so the stretch is widened by both on either side. Stretches that meet are one.
+    """
     best: dict[tuple[int, int], float] = {}
-    offset = (place - at + index.starts[item]) // 4  # alignments nearer than 4 characters count as one
-    keys = np.unique(np.stack([doc, item, offset]), axis=1, return_index=True)[1] if len(doc) else []
-    for k in keys:
-        d, i = int(doc[k]), int(item[k])
-        passage = index.cps[index.starts[i] : index.starts[i + 1]]
+    if not len(doc):
+        return best
+    length = np.diff(index.starts)[item]
+    wider = most_edits(length, share) + WINDOW[lang]
+    s = place - at + index.starts[item]
+    lo, hi = np.maximum(s - wider, starts[doc]), np.minimum(s + length + wider, starts[doc + 1])
+    order = np.lexsort((hi, lo, item, doc))
+    doc, item, lo, hi = doc[order], item[order], lo[order], hi[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1]))))
+    last = np.append(first[1:], len(doc)) - 1
+    for d, i, x, y in zip(doc[first].tolist(), item[first].tolist(), lo[first].tolist(), hi[last].tolist()):
         if best.get((d, i), 0) == 1:
             continue
-        s = place[k] - at[k] + index.starts[i]
-        stretch = cps[max(s, starts[d]) : min(s + len(passage), starts[d + 1])]
-        most = int((1 - share) * len(passage))
-        e = edit_distance(passage, stretch, most)
-        if e <= most:
+        passage = index.cps[index.starts[i] : index.starts[i + 1]]
+        if i not in index.bits:
+            index.bits[i] = passage_bits(passage)
+        e = nearest(index.bits[i], len(passage), cps[x:y])
+        if e <= most_edits(len(passage), share):
             best[d, i] = max(best.get((d, i), 0), 1 - e / len(passage))
     return best
 

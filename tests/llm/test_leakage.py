@@ -67,6 +67,37 @@ def test_edited_passages_are_found_with_their_similarity(tables, rows):
     assert len(found) >= 0.9 * len(items)
 
 
+def test_one_sided_edits_are_found_at_the_production_parameters(tables, rows):
+    r = random.Random(8)
+    zh = "蓄水塔燃油濾清器檢查更換煞車下列何者正確灌區公尺測試標示腐植質堆肥後視鏡進水閘門"
+    items, docs, want = [], [], {}
+    for n in (51, 73, 80, 200):
+        for one_sided in ("insert", "delete"):
+            for edits in (1, 3, n // 20, n // 10):
+                for at in (0.2, 0.5, 0.8):  # in one group, so that a window without an edit is certain
+                    i, k = len(items), int(at * n)
+                    p = "".join(r.choices(zh, k=n))
+                    c = p[:k] + "改" * edits + p[k:] if one_sided == "insert" else p[:k] + p[k + edits :]
+                    items.append((i, "zh", p))
+                    docs.append((i, "".join(r.choices("天地玄黃", k=40)) + c + "".join(r.choices("天地玄黃", k=40))))
+                    want[i] = edits
+    found = {(f.doc_id, f.item_id): f.similarity for f in leakage.edited_leaks(*tables(docs, items)).collect()}
+    assert set(found) == {(i, i) for i in want}
+    for (i, _), similarity in found.items():
+        assert similarity >= 1 - want[i] / len(items[i][2]) - 1e-9
+
+
+def test_nearest_is_the_least_distance_to_any_part():
+    import numpy as np
+
+    r = random.Random(4)
+    a = lambda s: np.array([ord(c) for c in s])
+    for _ in range(60):
+        p, t = ("".join(r.choices("abc", k=r.randint(*k))) for k in ((1, 9), (0, 14)))
+        least = min(leakage.edit_distance(a(p), a(t[i:j]), 99) for i in range(len(t) + 1) for j in range(i, len(t) + 1))
+        assert leakage.nearest(leakage.passage_bits(a(p)), len(p), a(t)) == least
+
+
 def test_equal_windows_embed_equally_and_edits_keep_some_samples():
     cps, _ = leakage.squashed(["abcdefghijklmnopqrstuvwxyz" * 2])
     import numpy as np
