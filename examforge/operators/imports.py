@@ -71,13 +71,12 @@ def merge_lines(lines: list[str], start: str = r"^\d{1,3}\s*[.、．]", answer:
 
 def merged_lines(rows: DataFrame, key: str) -> DataFrame:
     """merge_lines for every document (a bounded group): (key, no, line)."""
-    schema = ", ".join(f"{n} {t}" for n, t in rows.select(key).dtypes) + ", no int, line string"
+    @F.pandas_udf("array<string>")
+    def merged(lists: pd.Series) -> pd.Series:
+        return pd.Series([merge_lines(list(l)) for l in lists])
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_lines(group.sort_values("no")["line"].tolist())
-        return pd.DataFrame({key: group[key].iloc[0], "no": range(len(merged)), "line": merged})
-
-    return rows.select(key, "no", "line").groupBy(key).applyInPandas(fold, schema)
+    by = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
+    return by.select(key, F.posexplode(merged(F.transform("l", lambda x: x["line"]))).alias("no", "line"))
 
 
 _VALUE = re.compile(r"\s*\d+(?:\.\d+)?(?:\s*[~-]\s*\d+(?:\.\d+)?)?\s*%?\s*[一-鿿]{0,3}\s*")

@@ -168,12 +168,15 @@ def answer_key_join(spark, d):
 
 @plans.add()
 def lettered_records(spark, d):
-    docs = table(spark, d, "documents").where(F.col("source") == "exam_archive")
-    rows = segment.sessions(segment.lines(docs), "doc_id", F.col("line").rlike(r"^\d{1,3}\s*[.、．]"))
+    start = F.col("line").rlike(r"^\d{1,3}\s*[.、．]")
+    # an explanation runs to the next question and isn't part of the last option
+    explained = F.when(start, False).when(F.col("line").rlike("^解析\\s*[：:]"), True)
+    rows = segment.carried(segment.lines(table(spark, d, "documents")), "doc_id", {"explained": explained})
+    rows = segment.sessions(rows.where(~F.coalesce("explained", F.lit(False))), "doc_id", start)
     split = rows.where("group_no > 0").select("doc_id", "group_no", parsing.lettered_options(F.col("text")).alias("q"))
     return split.select("doc_id", "group_no", "q.stem", F.array_join("q.options", "\x1f").alias("options"))
 
 
 @plans.add()
 def merged_exam_lines(spark, d):
-    return imports.merged_lines(segment.lines(table(spark, d, "documents").where(F.col("source") == "exam_archive")), "doc_id")
+    return imports.merged_lines(segment.lines(table(spark, d, "documents")), "doc_id")

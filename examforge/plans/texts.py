@@ -120,7 +120,7 @@ def prev_next_segment(spark, d):
 
 @plans.add()
 def accepted_numbers(spark, d):
-    q = segment.question_records(table(spark, d, "documents").where(F.col("source") == "exam_archive"))
+    q = segment.question_records(table(spark, d, "documents"))
     by = q.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("q_no", "number"))).alias("l"))
     return by.select("doc_id", F.array_join(segment.accepted(F.transform("l", lambda x: x["number"])).cast("array<string>"), ",").alias("accepted"))
 
@@ -204,6 +204,6 @@ def changelog_rollup(spark, d):
 
 @plans.add()
 def paragraph_buffers(spark, d):
-    docs = table(spark, d, "documents").where((F.col("source") == "bank_explanations") & F.col("text").isNotNull())
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     parts = F.filter(F.split(F.regexp_replace("text", r"([。！？；])", "$1\x1f"), "\x1f"), lambda s: F.trim(s) != "")
     return docs.select("doc_id", F.posexplode(segment.buffered(parts)).alias("no", "paragraph"))

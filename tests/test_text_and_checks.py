@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from examforge.functions import text as T
 from examforge.operators import audit, catalog, laws, quality, ranges, segment
+from examforge.plans import registry
 
 
 def one(spark, column, value):
@@ -129,3 +130,17 @@ def test_catalogue(spark):
     df = spark.createDataFrame([("questions/110農田水利-大型車-栽培實務-000001.json",), ("questions/questions.json",)], "file string")
     got = df.select(*[c.alias(n) for n, c in catalog.bank_parts(F.col("file")).items()]).collect()
     assert (got[0].year, got[0].subject, got[0].number, got[0].shown) == ("110", "栽培實務", 1, "110 栽培實務（大型車）") and got[1].shown == "questions"
+
+
+def test_general_text_queries_read_every_source(spark, tmp_path):
+    text = "1. 甲何者？\n(A) 子\n(B) 丑\n解析：因為（A）不合。\n2. 乙？\n(A) 寅\n(B) 卯"
+    sources = ["exam_archive", "bank_explanations", "forum_posts", "glossary"]
+    docs = [(i, s, text) for i, s in enumerate(sources)] + [(9, "forum_posts", None)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.accepted) for r in run("accepted_numbers")} == {(i, "1,2") for i in range(4)}
+    want = {(1, "甲何者？", "子\x1f丑"), (2, "乙？", "寅\x1f卯")}
+    got = {(r.doc_id, r.group_no, r.stem.split(". ")[-1].strip(), r.options) for r in run("lettered_records")}
+    assert got == {(i, *w) for i in range(4) for w in want}
+    for name in ("merged_exam_lines", "paragraph_buffers"):
+        assert {r.doc_id for r in run(name)} == set(range(4)), name
