@@ -131,18 +131,43 @@ def _summing(taken: list[int], sizes: list[int], goal: int) -> set[int] | None:
 
 
 def exact_selection(sized: DataFrame, by: list[str], order: list[str], size: str, wanted: int) -> DataFrame:
-    """take_exactly for every request: by columns, block. A request's blocks (two numbers each) are folded in one
-    group; requests are bounded by what a quiz may choose from."""
-    import pandas as pd
-
-    cols = [*by, "block", size, *order]
-    schema = ", ".join(f"{n} {t}" for n, t in sized.select(*by, "block").dtypes)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        return group.loc[take_exactly(group[size].tolist(), wanted), [*by, "block"]]
-
-    return sized.select(*dict.fromkeys(cols)).groupBy(*by).applyInPandas(fold, schema)
+    """take_exactly for every request: by columns, block. A request's blocks are read in order, some at a time; of those
+    before only the taken ones are carried on, which are at most `wanted`."""
+    import pyarrow as pa
+
+    cols = list(dict.fromkeys([*by, "block", size, *order]))
+    keys = [*by, "block"]
+    kinds = dict(sized.dtypes)
+
+    def fold(batches):
+        request, taken = None, []  # taken: (size, block) of the request being read
+
+        def done():
+            return pa.RecordBatch.from_pylist([dict(zip(keys, (*request, block))) for _, block in taken], schema=schema)
+
+        for b in batches:
+            schema = pa.schema([b.schema.field(k) for k in keys])
+            rows = b.select([*keys, size]).to_pydict()
+            names = list(zip(*[rows[k] for k in by]))
+            start = 0
+            while start < len(names):
+                end = start
+                while end < len(names) and names[end] == names[start] and end < start + 200:
+                    end += 1
+                if names[start] != request:
+                    if taken:
+                        yield done()
+                    request, taken = names[start], []
+                if sum(n for n, _ in taken) < wanted:
+                    pool = taken + list(zip(rows[size][start:end], rows["block"][start:end]))
+                    taken = [pool[k] for k in take_exactly([n for n, _ in pool], wanted)]
+                start = end
+        if taken:
+            yield done()
+
+    ordered = sized.select(*cols).where(F.col(size).between(1, wanted)).repartition(*by)
+    ordered = ordered.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *order)])
+    return ordered.mapInArrow(fold, ", ".join(f"{k} {kinds[k]}" for k in keys))
 
 
 def permuted(questions: DataFrame, seed: str) -> DataFrame:

@@ -86,9 +86,7 @@ def block_take_overshoot(spark, d):
 @plans.add()
 def block_take_exact(spark, d):
     b = quiz.blocks(table(spark, d, "questions").select("row_id", "bank", "groupid", "materials")).groupBy("bank", "block").agg(F.count("*").cast("int").alias("size"))
-    # a quiz of 40 needs no more than the 200 first blocks of a bank to choose from
-    first = b.withColumn("k", F.row_number().over(Window.partitionBy("bank").orderBy("block"))).where("k <= 200").drop("k")
-    return quiz.exact_selection(first, ["bank"], ["block"], "size", 40)
+    return quiz.exact_selection(b, ["bank"], ["block"], "size", 40)
 
 
 @plans.add(f"""

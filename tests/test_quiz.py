@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from examforge.functions import grading
 from examforge.operators import quiz
+from examforge.plans import quizzes
 
 Q = "row_id bigint, bank string, id int, question string, options array<string>, answer string, noshuffle boolean, freescore boolean, groupid string, materials array<struct<type:string,title:string,content:string,notes:string>>"
 
@@ -85,3 +86,15 @@ def test_bad_requests():
     for kw in ({"mode": "x"}, {"num": -1}, {"num": "ten"}):
         with pytest.raises(ValueError):
             quiz.QuizSpec(**kw)
+
+
+def test_exact_quiz_reads_on_behind_the_first_blocks(spark, tmp_path, rows):
+    groups = [("a", f"g{k:03}", 3) for k in range(210)] + [("a", "last", 1)] + [("b", f"h{k:03}", 7) for k in range(230)] + [("b", "end", 5)]
+    questions = [(bank, g) for bank, g, n in groups for _ in range(n)]
+    frame = spark.createDataFrame([(i, bank, g, None) for i, (bank, g) in enumerate(questions)], "row_id bigint, bank string, groupid string, materials array<struct<type:string,title:string,content:string,notes:string>>")
+    frame.write.parquet(f"{tmp_path}/questions.parquet")
+    firsts = {}
+    for i, q in enumerate(questions):
+        firsts.setdefault(q, i)
+    want = [("a", firsts["a", f"g{k:03}"]) for k in range(13)] + [("a", firsts["a", "last"])] + [("b", firsts["b", f"h{k:03}"]) for k in range(5)] + [("b", firsts["b", "end"])]
+    assert rows(quizzes.block_take_exact(spark, str(tmp_path))) == want
