@@ -83,7 +83,7 @@ def first_difference(rows: DataFrame, key: str, a: str, b: str, context: int = 2
     n = F.least(F.length(a), F.length(b))
     low, high = F.lit(0), n
     q = rows.withColumn("_lo", low).withColumn("_hi", high)
-    for _ in range(14):
+    for _ in range(31):  # enough for any length of a string
         mid = F.floor((F.col("_lo") + F.col("_hi") + 1) / 2).cast("int")
         same = F.substr(a, F.lit(1), mid) == F.substr(b, F.lit(1), mid)
         q = q.withColumn("_mid", mid).withColumn("_same", same)

@@ -144,3 +144,9 @@ def test_general_text_queries_read_every_source(spark, tmp_path):
     assert got == {(i, *w) for i in range(4) for w in want}
     for name in ("merged_exam_lines", "paragraph_buffers"):
         assert {r.doc_id for r in run(name)} == set(range(4)), name
+
+
+def test_first_difference_of_long_texts(spark, rows):
+    same = "ab" * 40_000
+    df = spark.createDataFrame([(1, same + "c", same + "d"), (2, same, same + "x")], "k int, a string, b string")
+    assert rows(quality.first_difference(df, "k", "a", "b")) == [(1, 80_000, "c", "d"), (2, 80_000, "", "x")]
