@@ -36,7 +36,6 @@ LOOK, SURE = 6.0, 45.0
 SMOOTHING = 0.5
 #: By how much the inverted stretch must read more like the sample; one ideograph alone is easily one for another.
 MARGIN, MARGIN_ONE = 1.0, 3.0
-MOST_STRETCHES = 64
 ENDS = 3
 
 _UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
@@ -160,22 +159,29 @@ class Model:
         s = self.scores[:, _buckets(raw)].astype(np.float64)
         char = np.cumsum((raw & 0xC0) != 0x80) - 2  # the character of each byte
         out = []
-        while len(out) < MOST_STRETCHES:
-            total = np.cumsum(s, axis=1)
-            low = np.minimum.accumulate(total - s, axis=1)
+        parts = [(0, s.shape[1])]  # a stretch leaves the bigrams before and behind it to be searched by themselves
+        while parts:
+            x, y = parts.pop()
+            if x >= y:
+                continue
+            part = s[:, x:y]
+            total = np.cumsum(part, axis=1)
+            low = np.minimum.accumulate(total - part, axis=1)
             gain = total - low
             k, j = np.unravel_index(np.argmax(gain), gain.shape)
             if gain[k, j] < LOOK:
-                break
-            i = int(np.flatnonzero((total - s)[k, : j + 1] == low[k, j])[-1])
+                continue
+            best = float(gain[k, j])
+            i = x + int(np.flatnonzero((total - part)[k, : j + 1] == low[k, j])[-1])
+            j += x
+            parts += [(x, i), (j + 1, y)]
             first = i + (raw[i] < 0x80)  # a bigram at an end may only touch a plain character
             last = j + (raw[j + 1] >= 0x80)
             a, b = max(int(char[first]), 0), min(int(char[last]) + 1, len(text))
             each = s[:, i : j + 1].sum(axis=1)
             names = [(*CHAINS, *LOSSY)[c] for c in np.argsort(-each) if each[c] >= LOOK] or [(*CHAINS, *LOSSY)[k]]
-            out.append((a, max(b, a), names, float(gain[k, j])))
-            s[:, i : j + 1] = -1e6
-        return out
+            out.append((a, max(b, a), names, best))
+        return sorted(out, key=lambda o: -o[3])
 
     def likeness(self, text: str) -> float:
         """Mean log-frequency of the characters and character pairs in the sample."""

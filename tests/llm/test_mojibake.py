@@ -54,3 +54,9 @@ def test_nulls_repeats_long_texts_and_empty_tables(spark, questions, corpus, row
     assert found == [(900001, 0, True), (900001, 0, True), (900001, 3, True), (900001, 3, True), (900003, 0, True)]
     assert rows(mojibake.repaired_fields(questions([]))) == []
     assert mojibake.fit(questions([])) is None
+
+
+def test_every_stretch_of_a_long_field_is_restored(model):
+    part = STEM[:20] + mojibake.garble(STEM[20:30], "utf8_as_cp1252") + STEM[30:]
+    restored, _, whole = mojibake.repair(model, "\n".join([part] * 90))
+    assert restored == "\n".join([STEM] * 90) and whole
