@@ -21,10 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from examforge.llm.common import N_CODEPOINTS, chunks, codepoints, digit_table, mix64
-from examforge.session import checkpointed
+from examforge.session import checkpointed, small
 
 _B1, _B2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _DOT = 0x2E
@@ -82,7 +81,7 @@ def rolling_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches):
-    """Adds k1, k2: the row's hashes."""
+    """(row_id, k1, k2): the row's hashes, without its texts."""
     for batch in batches:
         questions = batch.column(1).to_pylist()
         options = batch.column(2).to_pylist()
@@ -93,7 +92,7 @@ def _keys(batches):
         for q, o in zip(rolling_hashes(questions), rolling_hashes(flat)):
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(o), dtype=np.uint64)))
             keys.append(mix64(mix64(q) + np.uint64(3) * (total[ends[1:]] - total[ends[:-1]]) + mix64(n.astype(np.uint64))).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], names=["row_id", "question", "options", "k1", "k2"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[0]), pa.array(keys[1])], names=["row_id", "k1", "k2"])
 
 
 def same_reduced(a: str, b: str) -> bool:
@@ -173,33 +172,52 @@ def domain(questions: DataFrame) -> DataFrame:
     )
 
 
-_KEYED = T.StructType([
-    T.StructField("row_id", T.LongType()), T.StructField("question", T.StringType()), T.StructField("options", T.ArrayType(T.StringType())),
-    T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()),
-])
+#: A key of more rows than this, and of more than a 10,000th of all copies, counts as hot: there are at most 10,000.
+HOT = 100_000
+#: Rows that meet one copy of their set's first text.
+SHARE = 50_000
+#: Most ids (16 bytes each) of a side that is broadcast; beyond it the side is shuffled.
+MOST_IDS = 1_000_000
 
 
 def keyed(questions: DataFrame) -> DataFrame:
-    """domain() with the 128-bit key (k1, k2) of the reduced record."""
-    return domain(questions).mapInArrow(_keys, _KEYED)
+    """(row_id, k1, k2): the 128-bit key of each row's reduced record."""
+    return domain(questions).mapInArrow(_keys, "row_id bigint, k1 bigint, k2 bigint")
 
 
-def copy_pairs(questions: DataFrame, salts: int = 32) -> DataFrame:
+def _meetings(keys: DataFrame) -> DataFrame:
+    """(row_id, first_id, n): rows that share a key with a smaller row_id, and the number of rows of that key.
+
+    Only keys are shuffled, and the smallest row_id and the count of a key are combined map-side. Hot keys, at most
+    10,000 since their counts add up to the number of copies at most, meet their rows by broadcast.
+    """
+    sets = keys.groupBy("k1", "k2").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("last"), F.count("*").alias("n"))
+    sets = checkpointed(sets.where(F.col("last") > F.col("first_id")).drop("last"))
+    copies = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = max(HOT, copies // 10_000)
+    busy = F.broadcast(sets.where(F.col("n") > hot))
+    met = keys.join(busy, ["k1", "k2"])
+    met = met.unionByName(keys.join(busy, ["k1", "k2"], "left_anti").join(small(sets.where(F.col("n") <= hot), MOST_IDS), ["k1", "k2"]))
+    return met.where(F.col("row_id") > F.col("first_id")).select("row_id", "first_id", "n")
+
+
+def copy_pairs(questions: DataFrame) -> DataFrame:
     """(first_id, row_id): every copy with the smallest row_id of its set.
 
-    The smallest row of each key comes from a map-side-combined minimum, so a key that holds a third of all rows sends
-    one row a partition. It is then repeated once a salt, and rows meet it under the salt of their own row_id: the
-    hottest key is spread over `salts` tasks. Rows that share a key by accident (none is expected) are grouped by
-    their written-out reduced form, so the result is exact.
+    Texts are fetched only for rows whose keys met, by their ids. The first text of a set is repeated once for every
+    SHARE rows of the set, so that a set of a third of all rows is spread over as many tasks. Rows that share a key by
+    accident (none is expected) are grouped by their written-out reduced form, so the result is exact.
     """
-    rows = keyed(questions)
-    firsts = rows.groupBy("k1", "k2").agg(
-        F.min(F.struct("row_id", "question", "options")).alias("f"), F.max("row_id").alias("last")
-    ).where(F.col("last") > F.col("f.row_id"))
-    firsts = firsts.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("f.row_id").alias("first_id"), F.col("f.question").alias("first_question"), F.col("f.options").alias("first_options"))
-    met = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int")).join(firsts, ["k1", "k2", "salt"])
-    met = met.where(F.col("row_id") > F.col("first_id")).select("row_id", "question", "options", "first_id", "first_question", "first_options")
-    checked = checkpointed(met.mapInArrow(_verified, "row_id bigint, first_id bigint, other string").distinct())
+    met = checkpointed(_meetings(checkpointed(keyed(questions))).distinct())
+    met = met.withColumn("salts", F.ceil(F.col("n") / SHARE).cast("int"))
+    texts = domain(questions)
+    firsts = met.select(F.col("first_id").alias("row_id"), "salts").distinct()
+    firsts = texts.join(small(firsts, MOST_IDS), "row_id").select(
+        F.col("row_id").alias("first_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("question").alias("first_question"), F.col("options").alias("first_options")
+    )
+    rows = texts.join(small(met.select("row_id", "first_id", "salts"), MOST_IDS), "row_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), "salts").cast("int"))
+    both = rows.join(firsts, ["first_id", "salt"]).select("row_id", "question", "options", "first_id", "first_question", "first_options")
+    checked = checkpointed(both.mapInArrow(_verified, "row_id bigint, first_id bigint, other string").distinct())
     rest = checked.where(F.col("other").isNotNull())
     rest_firsts = rest.groupBy("first_id", "other").agg(F.min("row_id").alias("f"))
     rest = rest.join(rest_firsts, ["first_id", "other"]).where(F.col("row_id") > F.col("f")).select(F.col("f").alias("first_id"), "row_id")
