@@ -38,11 +38,11 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
 
 def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, available, wanted, passes, rest, short) of each target."""
-    by_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
+    by_source = checkpointed(sized.groupBy("source").agg(F.sum("n_tokens").alias("available")))  # a row a source
     total = by_source.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
     t = targets.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("bigint").alias("max_repeats"))
-    # by_source and total have one row a source and one row at all: their size doesn't grow with the documents
-    t = t.join(by_source, "source", "left").crossJoin(F.broadcast(total)).withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
+    # total is one row; it meets every target as a constant column, so no join without a key is needed
+    t = t.join(by_source, "source", "left").withColumn("total", F.lit(total.first()[0])).withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     wanted = F.col("target_share") * F.col("total")
     t = t.withColumn("wanted", wanted).withColumn("short", F.col("available") * F.col("max_repeats") < F.col("wanted"))
     used = F.when(F.col("short"), (F.col("available") * F.col("max_repeats")).cast("double")).otherwise(F.col("wanted"))

@@ -57,7 +57,7 @@ def p6_edited(spark, d):
 
 
 def p7_found(spark, d):
-    return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1].where("short").select("source")
+    return mixture.plan(mixture.token_counts(read(spark, d, "documents")), read(spark, d, "mix_targets")).where("short").select("source")
 
 
 def p7_mixture(spark, d):
