@@ -12,7 +12,10 @@ is moved to the next earlier cut until it keeps the limit.
 
 Defined cases: null texts and texts without a limit for their source (or a limit below 1) are not split and give no
 pieces; a negative or null overlap counts as 0, an overlap of half the limit or more as just under half of it, so that
-every piece moves on; a character of more tokens than the limit stays whole. Empty tables give no rows.
+every piece moves on; where there is no room for it, some of the overlap is given up. The column overlap_tokens says
+how many tokens a piece really shares with the one before it, so a smaller overlap than asked for shows. Of several
+limits of a source the smallest holds, with the largest overlap given for it. A character of more tokens than the limit
+stays whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ BOUNDARIES = tuple(map(re.compile, (
 )))
 
 
-def split(text: str, max_tokens: int, overlap_tokens: int, tokenizer: str | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, n_tokens) of each piece, in characters; a single piece if the text keeps the limit."""
+def split(text: str, max_tokens: int, overlap_tokens: int, tokenizer: str | None = None) -> list[tuple[int, int, int, int]]:
+    """(start, end, n_tokens, overlap) of each piece, in characters and tokens; a single piece if the text keeps the limit."""
     raw = text.encode("utf-8")
     ends = token_ends(text, tokenizer)
     if len(ends) <= max_tokens:
-        return [(0, len(text), len(ends))]
+        return [(0, len(text), len(ends), 0)]
     overlap = min(max(overlap_tokens or 0, 0), (max_tokens - 1) // 2)
     tops = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80  # the first byte of each character
     chars = np.flatnonzero(np.append(tops, True))  # character -> byte offset
@@ -67,7 +70,7 @@ def split(text: str, max_tokens: int, overlap_tokens: int, tokenizer: str | None
             else:  # no room behind the last piece: give up some of the overlap
                 start = after(start)
                 limit = start + max_tokens
-        pieces.append((int(np.searchsorted(chars, at[start])), int(np.searchsorted(chars, at[end])), n))
+        pieces.append((int(np.searchsorted(chars, at[start])), int(np.searchsorted(chars, at[end])), n, max(last - start, 0)))
         if end == len(ends):
             return pieces
         last = end
@@ -85,8 +88,8 @@ def _cut(levels: list[np.ndarray], whole: np.ndarray, start: int, limit: int, la
     return k if k > max(start, last) else int(whole[np.searchsorted(whole, max(start, last), "right")])
 
 
-_OUT = "doc_id bigint, piece_no int, start_char bigint, end_char bigint, n_tokens bigint, piece string, n_pieces int"
-_NAMES = ["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "piece", "n_pieces"]
+_OUT = "doc_id bigint, piece_no int, start_char bigint, end_char bigint, n_tokens bigint, overlap_tokens bigint, piece string, n_pieces int"
+_NAMES = ["doc_id", "piece_no", "start_char", "end_char", "n_tokens", "overlap_tokens", "piece", "n_pieces"]
 
 
 def pieces(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None, with_text: bool = True) -> DataFrame:
@@ -95,7 +98,7 @@ def pieces(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None
     A byte-level token has a byte at least, so a text of at most max_tokens bytes keeps the limit and isn't tokenized.
     """
     limits = limits.select("source", F.col("max_tokens").cast("int").alias("max_tokens"), F.col("overlap_tokens").cast("int").alias("overlap_tokens"))
-    limits = limits.where(F.col("max_tokens") > 0).dropDuplicates(["source"])
+    limits = limits.where(F.col("max_tokens") > 0).groupBy("source").agg(F.min("max_tokens").alias("max_tokens"), F.max_by("overlap_tokens", F.struct(-F.col("max_tokens"), F.coalesce("overlap_tokens", F.lit(0)))).alias("overlap_tokens"))
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source").where(F.col("text").isNotNull())
     docs = docs.join(small(limits), "source").where(F.octet_length("text") > F.col("max_tokens"))
 
@@ -105,8 +108,8 @@ def pieces(documents: DataFrame, limits: DataFrame, tokenizer: str | None = None
             for doc_id, text, most, overlap in zip(*(b.column(i).to_pylist() for i in range(4))):
                 parts = split(text, most, overlap or 0, tokenizer)
                 if len(parts) > 1:
-                    rows += [(doc_id, i, s, e, n, text[s:e] if with_text else None, len(parts)) for i, (s, e, n) in enumerate(parts)]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
+                    rows += [(doc_id, i, s, e, n, o, text[s:e] if with_text else None, len(parts)) for i, (s, e, n, o) in enumerate(parts)]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
 
     return docs.select("doc_id", "text", "max_tokens", "overlap_tokens").mapInArrow(cut, _OUT)

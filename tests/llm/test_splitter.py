@@ -21,19 +21,20 @@ def test_pieces_cover_the_text_keep_the_limit_and_share_the_overlap(most, overla
         text = made(seed, 40)
         pieces = splitter.split(text, most, overlap)
         assert len(pieces) > 1 and pieces[0][0] == 0 and pieces[-1][1] == len(text)
-        for (s, e, n), (s2, e2, _) in zip(pieces, pieces[1:]):
+        for (s, e, *_), (s2, e2, _, said) in zip(pieces, pieces[1:]):
             assert s < s2 <= e < e2
             shared = count_tokens([text[s2:e]])[0]
             wanted = min(overlap, (most - 1) // 2)
+            assert said >= wanted or s2 == e or said > 0
             assert wanted == 0 or shared >= wanted - 2
             if not wanted:
                 assert s2 == e
-        assert all(n == count_tokens([text[s:e]])[0] <= max(most, 12) for s, e, n in pieces)
+        assert all(n == count_tokens([text[s:e]])[0] <= max(most, 12) for s, e, n, _ in pieces)
 
 
 def test_cuts_at_the_strongest_boundary():
     text = "\n".join(f"第 {i} 條　" + "承辦人應先檢查蓄水塔再填報。" * 3 for i in range(1, 20))
-    assert all(text[s:].startswith("第") for s, _, _ in splitter.split(text, 200, 0))
+    assert all(text[s:].startswith("第") for s, *_ in splitter.split(text, 200, 0))
 
 
 def test_documents_without_limits_nulls_and_empty_tables(spark, rows):
@@ -47,6 +48,13 @@ def test_documents_without_limits_nulls_and_empty_tables(spark, rows):
     assert rows(splitter.pieces(docs.limit(0), limits)) == [] and rows(splitter.pieces(docs, limits.limit(0))) == []
 
 
+def test_of_several_limits_of_a_source_the_smallest_holds(spark):
+    docs = spark.createDataFrame([(1, "a", made(1, 60), 0, "")], DOCS)
+    limits = [("a", 300, 0, ""), ("a", 100, 5, ""), ("a", 100, None, ""), ("a", 100, 10, "")]
+    found = [splitter.pieces(docs, spark.createDataFrame(x, LIMITS)).collect() for x in (limits, limits[::-1], [("a", 100, 10, "")])]
+    assert found[0] == found[1] == found[2] and all(r.overlap_tokens >= 10 for r in found[0] if r.piece_no)
+
+
 def test_very_long_text_without_boundaries():
     pieces = splitter.split("甲" * 200_000, 500, 20)
-    assert pieces[-1][1] == 200_000 and all(n <= 500 for _, _, n in pieces)
+    assert pieces[-1][1] == 200_000 and all(n <= 500 for _, _, n, _ in pieces)
