@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from examforge.session import checkpointed
+
 N_CODEPOINTS = 0x110000
 #: Batches are cut into runs of at most this many characters, so that temporary arrays stay small.
 CHUNK_CHARS = 2_000_000
@@ -124,3 +126,22 @@ def hashed_counts(df: DataFrame, buckets: int, of_texts, least: int = 2) -> np.n
     table = sums.toArrow()
     out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
     return out
+
+
+def hot_join(rows: DataFrame, sides: DataFrame, key: str, by: str, counted: DataFrame | None = None, hot: int = 20_000) -> DataFrame:
+    """rows joined with sides (one row a key), with hot keys spread.
+
+    A key of more than `hot` rows, and of more than a 10,000th of the rows of such keys, is hot: there are at most
+    10,000 of them, so they can be broadcast. Its row in sides is repeated once for every `hot` rows, and its rows meet
+    those repeats by the hash of the column `by`. counted: a frame already written that has the same keys as rows.
+    """
+    n = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    n = checkpointed(n)
+    total = n.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    if not total:
+        return rows.join(sides, key)
+    n = F.broadcast(n.where(F.col("_n") > total // 10_000).select(key, F.ceil(F.col("_n") / hot).cast("int").alias("_k")))
+    salts = F.coalesce("_k", F.lit(1))
+    rows = rows.join(n, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_k")
+    sides = sides.join(n, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_k")
+    return rows.join(sides, [key, "_salt"]).drop("_salt")

@@ -4,15 +4,16 @@ A record's set holds the runs of three characters of its reduced text (reduced q
 by code point). Copies in the sense of problem 3 have one set: only the first of each class enters the join, and the
 answers of the others are derived from its answers, with nothing to verify again.
 
-Sets are ordered by how rare their shingles are (counts over all sets, hashed into a table of fixed size, which only
-decides the order). Each set enters the index lists of its rarest shingles, as many as the threshold needs. A list is
+Sets are ordered by how rare their shingles are (counts over all sets, hashed into a table whose size follows the
+number of sets up to 2^23, and which only decides the order). Each set enters the index lists of its rarest shingles, as many as the threshold needs. A list is
 kept in blocks of equal set size, sorted by the shingle's position in the set. Of two sets of m and n shingles the
 overlap must reach A = t / (1 + t) * (m + n); a first common shingle at position p of m allows m - p at most, so block
 by block everything behind position m - A is skipped without being touched, and so are blocks of sizes out of range.
 What is left is bounded by parity bitmaps of 384 bits (their differing bits never exceed the sets' differing shingles)
 and by an exact count of the shingles. No pair is lost, none is capped.
 
-A list longer than LIST rows is cut into parts by the sets' hash, and every pair of parts is a task of its own.
+A list longer than LIST rows (counted exactly) is cut into parts by the sets' hash, and every pair of parts is a task of
+its own.
 
 Defined cases: the domain is problem 3's; sets of texts shorter than three characters are empty and have no neighbours;
 copies are no pairs of each other. A pair of classes gives one row for each pair of their members.
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examforge.llm.common import codepoints, hashed_counts, mix64
+from examforge.llm.common import codepoints, hashed_counts, hot_join, mix64
 from examforge.llm.formatdup import _lowered, copy_pairs, domain, kept
-from examforge.session import checkpointed
+from examforge.session import checkpointed, small
 
 THRESHOLD = 0.7
-RARITY = 1 << 20
+#: Bits of the number of buckets in the table of shingle counts, least and most.
+RARITY_BITS = (20, 23)
 LIST = 40_000
 #: Lists up to this length are compared row by row, longer ones block by block.
 SHORT = 2_000
@@ -70,8 +72,8 @@ def needed(m, n, t: float):
     return np.ceil(t / (1 + t) * (m + n) - 1e-9).astype(np.int64)
 
 
-def _rarity(hashes: np.ndarray) -> np.ndarray:
-    return (mix64(hashes.view(np.uint64)) & np.uint64(RARITY - 1)).astype(np.int64)
+def _rarity(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(hashes.view(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def _texts(batches):
@@ -91,12 +93,22 @@ def _bitmap(tokens: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-_ENTRY = pa.schema([("token", pa.int64()), ("part", pa.int32()), ("own", pa.int32()), ("id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), *((b, pa.int64()) for b in _BITS)])
-_ENTRY_SQL = "token bigint, part int, own int, id bigint, size int, pos int, " + ", ".join(f"{b} bigint" for b in _BITS)
+_ENTRY = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), *((b, pa.int64()) for b in _BITS)])
+_ENTRY_SQL = "token bigint, id bigint, size int, pos int, " + ", ".join(f"{b} bigint" for b in _BITS)
+
+
+def _prefix(tokens: np.ndarray, counts: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The set's rarest shingles, as many as the threshold needs, that another set may have, and their positions."""
+    m = len(tokens)
+    often = counts[_rarity(tokens, len(counts))]
+    first = np.lexsort((tokens, often))[: m - math.ceil(t * m - 1e-9) + 1]
+    pos = np.flatnonzero(often[first] > 1)  # a bucket counts at least the sets of each of its shingles
+    return tokens[first[pos]], pos
 
 
 def index_entries(texts: DataFrame, rarity, t: float, list_rows: int = LIST) -> DataFrame:
-    """The index lists' rows: each set under its rarest shingles; shingles that no other set has are left out."""
+    """The index lists' rows: each set under its rarest shingles. Of a list that is cut, every part's rows are repeated for
+    each part that they must meet: low and high are the parts of a task, own is the row's."""
 
     def entries(batches):
         counts = rarity.value
@@ -104,25 +116,28 @@ def index_entries(texts: DataFrame, rarity, t: float, list_rows: int = LIST) ->
             cols: list[list[np.ndarray]] = [[] for _ in _ENTRY]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = shingles(text)
-                m = len(tokens)
-                if not m:
+                if not len(tokens):
                     continue
-                often = counts[_rarity(tokens)]
-                first = np.lexsort((tokens, often))[: m - math.ceil(t * m - 1e-9) + 1]
-                pos = np.flatnonzero(often[first] > 1)
-                first = first[pos]
-                parts = -(-often[first] // list_rows)
-                own = (mix64(np.array([id_], np.int64).view(np.uint64))[0] >> np.uint64(33)).astype(np.int64) % parts
-                each = np.repeat(np.arange(len(first)), parts)  # a row for every part that the set must meet
-                other = np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts)
-                low, high = np.minimum(own[each], other), np.maximum(own[each], other)
-                k = len(each)
-                for c, v in zip(cols, (tokens[first][each], low * 1000 + high, own[each], np.full(k, id_), np.full(k, m), pos[each], *(np.full(k, w) for w in _bitmap(tokens)))):
+                first, pos = _prefix(tokens, counts, t)
+                k = len(first)
+                for c, v in zip(cols, (first, np.full(k, id_), np.full(k, len(tokens)), pos, *(np.full(k, w) for w in _bitmap(tokens)))):
                     c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(cols, _ENTRY)], schema=_ENTRY)
 
-    return texts.mapInArrow(entries, _ENTRY_SQL)
+    def long_lists(batches):
+        counts = rarity.value
+        for b in batches:
+            found = [first[counts[_rarity(first, len(counts))] > list_rows] for first, _ in (_prefix(x, counts, t) for x in map(shingles, b.column(1).to_pylist()) if len(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["token"])
+
+    rows = texts.mapInArrow(entries, _ENTRY_SQL)
+    if int(rarity.value.max()) <= list_rows:  # no bucket, so no list, is longer
+        return rows.select("*", *(F.lit(0).alias(c) for c in ("low", "high", "own")))
+    n = texts.mapInArrow(long_lists, "token bigint").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > list_rows)
+    rows = rows.join(small(checkpointed(n), 1_000_000), "token", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / list_rows), F.lit(1)).cast("int")).drop("n")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("parts", "other")
 
 
 def _apart(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -190,7 +205,7 @@ def _candidates(t: float):
             table = pa.Table.from_batches(waiting).combine_chunks()
             e = {f: table.column(f).to_numpy() for f in table.column_names}
             e |= {b: e[b].view(np.uint64) for b in _BITS}  # of signed numbers the absolute value's bits would count
-            new = np.append(True, (e["token"][1:] != e["token"][:-1]) | (e["part"][1:] != e["part"][:-1]))
+            new = np.append(True, np.logical_or.reduce([e[k][1:] != e[k][:-1] for k in ("token", "low", "high")]))
             starts = np.flatnonzero(new)
             upto = len(new) if final else int(starts[-1])  # the last list may go on
             if not upto:
@@ -198,12 +213,10 @@ def _candidates(t: float):
             waiting = [] if final else [table.slice(upto).to_batches()[0]]
             size = len(new) - upto
             e = {k: v[:upto] for k, v in e.items()}
-            out = []
             for x, y in list_pairs(e, starts[starts < upto], t):
-                ok = (e["id"][x] != e["id"][y]) & ((e["own"][x] != e["own"][y]) | (e["part"][x] % 1000 == e["part"][x] // 1000))
-                out.append(np.stack([np.minimum(e["id"][x], e["id"][y])[ok], np.maximum(e["id"][x], e["id"][y])[ok]]))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                ok = (e["id"][x] != e["id"][y]) & ((e["own"][x] != e["own"][y]) | (e["low"][x] == e["high"][x]))
+                pairs = np.unique(np.stack([np.minimum(e["id"][x], e["id"][y])[ok], np.maximum(e["id"][x], e["id"][y])[ok]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
@@ -218,12 +231,20 @@ def _candidates(t: float):
 
 
 def similar_classes(texts: DataFrame, t: float = THRESHOLD, list_rows: int = LIST) -> DataFrame:
-    """(a, b, similarity): pairs of ids a < b whose texts' sets have Jaccard similarity t or more. texts: id, text."""
-    counts = hashed_counts(texts.select("text"), RARITY, lambda ts: _rarity(np.concatenate([shingles(x) for x in ts] or [np.zeros(0, np.int64)])))
-    rarity = texts.sparkSession.sparkContext.broadcast(np.maximum(counts, 1).astype(np.int32))  # fixed size
-    lists = index_entries(texts, rarity, t, list_rows).repartition("token", "part").sortWithinPartitions("token", "part", "size", "pos")
-    candidates = lists.mapInArrow(_candidates(t), "a bigint, b bigint").distinct()
-    sides = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    """(a, b, similarity): pairs of ids a < b whose texts' sets have Jaccard similarity t or more. texts: id, text.
+
+    The ids of candidates meet their texts by joins that fetch no other texts; an id with very many partners is spread.
+    """
+    sets = texts.count()
+    buckets = 1 << min(max(RARITY_BITS[0], (8 * sets).bit_length()), RARITY_BITS[1])
+    counts = hashed_counts(texts.select("text"), buckets, lambda ts: _rarity(np.concatenate([shingles(x) for x in ts] or [np.zeros(0, np.int64)]), buckets))
+    rarity = texts.sparkSession.sparkContext.broadcast(np.maximum(counts, 1).astype(np.int32))  # 32 MB at most
+    lists = index_entries(texts, rarity, t, list_rows).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "pos")
+    candidates = checkpointed(lists.mapInArrow(_candidates(t), "a bigint, b bigint").distinct())
+    needed_ids = checkpointed(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    of = texts.join(small(needed_ids, 1_000_000), "id", "left_semi")
+    sides = hot_join(candidates, of.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a", "b")
+    sides = hot_join(sides, of.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b", "a", candidates)
 
     def verify(batches):
         for batch in batches:
@@ -242,23 +263,43 @@ def similar_classes(texts: DataFrame, t: float = THRESHOLD, list_rows: int = LIS
                     rows.append((a, b, both / (len(x) + len(y) - both)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], p) for k, p in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, similarity double")
+    found = sides.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))  # rows that repeat give one pair
 
 
 def class_pairs(questions: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes: a, b, similarity; copies: first_id, row_id). Both are written to the checkpoint folder."""
     copies = checkpointed(copy_pairs(questions))
-    firsts = domain(questions).dropDuplicates(["row_id"]).join(copies.select("row_id"), "row_id", "left_anti")
+    firsts = domain(questions).join(small(copies.select("row_id"), 1_000_000), "row_id", "left_anti")
     texts = firsts.select("row_id", "question", "options").mapInArrow(_texts, "id bigint, text string")
-    return checkpointed(similar_classes(texts, t)), copies
+    return checkpointed(similar_classes(checkpointed(texts), t)), copies
+
+
+#: Members of a class that meet a partner in one task.
+MEMBERS = 5_000
 
 
 def row_pairs(questions: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """(row_id_a, row_id_b, similarity): all pairs of rows of similar classes, the answers of copies derived from their class's."""
+    """(row_id_a, row_id_b, similarity): all pairs of rows of similar classes, the answers of copies derived from their class's.
+
+    A class's members are cut into parts of about MEMBERS rows, and a pair of classes becomes a pair for every two parts,
+    so that no task gets the members of a large class at once.
+    """
     pairs, copies = class_pairs(questions, t)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("first_id")).distinct()
-    members = checkpointed(copies.join(ids, "first_id", "left_semi").unionByName(ids.select("first_id", F.col("first_id").alias("row_id"))))
-    both = pairs.join(members.select(F.col("first_id").alias("a"), F.col("row_id").alias("x")), "a").join(members.select(F.col("first_id").alias("b"), F.col("row_id").alias("y")), "b")
+    ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("first_id")).distinct())
+    sizes = ids.join(copies.groupBy("first_id").agg(F.count("*").alias("n")), "first_id", "left")
+    sizes = checkpointed(sizes.select("first_id", F.ceil((F.coalesce("n", F.lit(0)) + 1) / MEMBERS).cast("int").alias("parts")))
+    split = small(sizes.where("parts > 1"), 1_000_000)  # at most a 5,000th of all rows
+    parts = lambda df, key: df.join(split.select(F.col("first_id").alias(key), F.col("parts").alias(f"n_{key}")), key, "left").withColumn(f"n_{key}", F.coalesce(f"n_{key}", F.lit(1)))
+    members = copies.join(ids, "first_id", "left_semi").unionByName(ids.select("first_id", F.col("first_id").alias("row_id")))
+    members = parts(members, "first_id").select("first_id", "row_id", F.pmod(F.xxhash64("row_id"), "n_first_id").cast("int").alias("part"))
+    members = checkpointed(members)
+    both = parts(parts(pairs, "a"), "b")
+    for key in ("a", "b"):
+        both = both.withColumn(f"p_{key}", F.explode(F.sequence(F.lit(0), F.col(f"n_{key}") - 1)))
+    for key, row in (("a", "x"), ("b", "y")):
+        side = members.select(F.col("first_id").alias(key), F.col("part").alias(f"p_{key}"), F.col("row_id").alias(row))
+        both = both.join(side, [key, f"p_{key}"])
     return both.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"), "similarity")
 
 

@@ -69,3 +69,24 @@ def test_groups(questions, rows):
 
 def test_empty_table(questions, rows):
     assert rows(neardup.row_pairs(questions([]))) == []
+
+
+def test_lists_of_more_than_a_thousand_parts_lose_nothing(spark, rows):
+    base = "承辦人員巡查蓄水塔發現抽水機組異常依序執行檢查燃油濾清器與更換煞車總泵下列敘述何者正確"
+    texts = [(i, base + chr(0x4E00 + i)) for i in range(1100)]
+    found = neardup.similar_classes(spark.createDataFrame(texts, "id bigint, text string"), 0.7, list_rows=1)
+    assert found.count() == 1100 * 1099 // 2
+
+
+def test_parts_of_large_classes_and_hot_keys_lose_nothing(questions, rows, monkeypatch, spark):
+    base = "承辦人員巡查蓄水塔發現抽水機組異常依序執行檢查燃油濾清器與更換煞車總泵下列敘述何者正確"
+    data = [(i, base + "，" * i, ["a"]) for i in range(40)] + [(100 + i, base[:-2] + "錯誤" + "。" * i, ["a"]) for i in range(30)]
+    whole = rows(neardup.row_pairs(questions(data)))
+    monkeypatch.setattr(neardup, "MEMBERS", 7)
+    assert len(whole) == 40 * 30 and rows(neardup.row_pairs(questions(data))) == whole
+
+    from examforge.llm.common import hot_join
+
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k int, v int")
+    right = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "k int, t string")
+    assert rows(hot_join(left, right, "k", "v", hot=5)) == rows(left.join(right, "k"))
