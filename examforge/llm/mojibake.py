@@ -19,12 +19,14 @@ found. Repeated rows are judged one by one. Fields are judged whole, however lon
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from examforge.llm.common import LOOKALIKES, question_fields, sampled_texts
+from examforge.llm.common import LOOKALIKES, chunks, hashed_counts, question_fields, sampled_texts
 
 #: Fields in the training sample, and buckets of hashed byte bigrams.
 SAMPLE_FIELDS = 12_000
@@ -108,13 +110,28 @@ def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(cps, 0xFFFF), (pair ^ pair >> np.uint32(15)) & np.uint32(PAIRS - 1)
 
 
+#: Fields to whose number the counts of characters and pairs are scaled, so that the margins mean the same at every size.
+SCALE = 12_000
+
+
+def usage_hashes(texts: list[str]) -> np.ndarray:
+    """Places of all characters and, behind them, of all character pairs of the texts in one table of counts."""
+    codes, pairs = _characters("\n".join(texts))
+    return np.concatenate((codes.astype(np.int64), pairs.astype(np.int64) + 0x10000))
+
+
 class Model:
-    """scores[chain, bucket]: log-odds against clean; characters, pairs: counts in the sample."""
+    """scores[chain, bucket]: log-odds against clean; characters, pairs: counts over all fields, scaled to SCALE fields.
+
+    texts: the sample that the classifier is fitted on. usage: counts of usage_hashes over `fields` fields; without them
+    the sample's own.
+    """
 
-    def __init__(self, texts: list[str]):
-        codes, pairs = _characters("\n".join(texts))
-        self.characters = np.bincount(codes, minlength=0x10000).astype(np.float32)
-        self.pairs = np.bincount(pairs, minlength=PAIRS).astype(np.float32)
+    def __init__(self, texts: list[str], usage: np.ndarray | None = None, fields: int = 0):
+        if usage is None:
+            usage, fields = np.bincount(usage_hashes(texts), minlength=0x10000 + PAIRS), len(texts)
+        scaled = (usage * (SCALE / max(fields, 1))).astype(np.float32)
+        self.characters, self.pairs, self.kept = scaled[:0x10000], scaled[0x10000:], {}
         keep = texts
         for _ in range(2):
             counts = np.full((len(CLASSES), BUCKETS), SMOOTHING)
@@ -134,17 +151,31 @@ class Model:
             seen_high[np.flatnonzero(counts[1:].max(axis=0) > SMOOTHING)] = True
             plain = np.setdiff1d(ascii_pairs, np.flatnonzero(seen_high))
             self.scores[:, plain] = -0.5
+            self.best = self.scores.max(axis=0, keepdims=True)
             keep = [t for t, odd in zip(texts, self.suspicious(texts)) if not (odd and repair(self, t))]
+        self.kept = {}
 
     def suspicious(self, texts: list[str]) -> np.ndarray:
-        """Whether any stretch scores LOOK for any chain: the largest sums, for all texts at once, chain by chain."""
+        """Whether any stretch scores LOOK for any chain: the largest sums, for all texts at once.
+
+        A first pass takes the best chain of every bigram, which bounds all of them; the chains are gone through one by
+        one only for the texts that this bound leaves.
+        """
+        out = np.zeros(len(texts), bool)
+        for first, last in chunks(texts):
+            maybe = np.flatnonzero(self._over(texts[first:last], self.best)) + first
+            out[maybe] = self._over([texts[i] for i in maybe], self.scores) if len(maybe) else False
+        return out
+
+    @staticmethod
+    def _over(texts: list[str], tables: np.ndarray) -> np.ndarray:
         parts = [_bytes(t) for t in texts]
         ends = np.cumsum([len(p) for p in parts])
         starts = np.concatenate(([0], ends[:-1]))
         buckets = _buckets(np.frombuffer(b"".join(parts) + b"\n", np.uint8))
         text = np.repeat(np.arange(len(parts), dtype=np.float64), np.diff(np.append(starts, ends[-1:])))
         out = np.zeros(len(parts), bool)
-        for scores in self.scores:
+        for scores in tables:
             s = scores[buckets].astype(np.float64)
             s[ends - 1] = 0
             total = np.cumsum(s)
@@ -184,7 +215,16 @@ class Model:
         return sorted(out, key=lambda o: -o[3])
 
     def likeness(self, text: str) -> float:
-        """Mean log-frequency of the characters and character pairs in the sample."""
+        """Mean log-frequency of the characters and character pairs, on the scale of SCALE fields."""
+        if len(text) <= SHORT:
+            if text not in self.kept:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                self.kept[text] = self._likeness(text)
+            return self.kept[text]
+        return self._likeness(text)
+
+    def _likeness(self, text: str) -> float:
         if len(text) < 2:
             return -9.0
         codes, pairs = _characters(text)
@@ -193,13 +233,17 @@ class Model:
         return float(np.log(single + 0.5).mean() + np.log(pair + 0.5).mean())
 
 
-def invert(text: str, chain: str, errors: str = "strict") -> str | None:
+def invert(text: str, chain: str) -> str | None:
     """The text before the chain, None if it can't have come from it."""
+    return _invert_short(text, chain) if len(text) <= SHORT else _invert(text, chain)
+
+
+def _invert(text: str, chain: str) -> str | None:
     for written, read in reversed(CHAINS[chain]):
         for r in read:
             for w in written:
                 try:
-                    back = _decode(_encode(text, r), w, errors)
+                    back = _decode(_encode(text, r), w, "strict")
                 except (UnicodeError, KeyError):
                     continue
                 break
@@ -212,6 +256,11 @@ def invert(text: str, chain: str, errors: str = "strict") -> str | None:
     return text
 
 
+#: Short stretches come back again and again (units, accents); what was computed for the last of them is kept.
+SHORT, KEPT = 12, 1 << 16
+_invert_short = lru_cache(KEPT)(_invert)
+
+
 def _partly(text: str, chain: str) -> str:
     """What still decodes of a damaged stretch, the rest as replacement characters."""
     if chain in LOSSY:
@@ -241,8 +290,8 @@ def _inverted(model: Model, text: str, a: int, b: int, chain: str) -> tuple[int,
         x, y = a - left, b + right
         if not 0 <= x < y <= len(text):
             continue
-        if all(c in LOOKALIKES or c < "\x80" for c in text[x:y]):
-            continue  # letters of another script among Latin ones are problem 2
+        if all(c in LOOKALIKES or c < "\x80" or c in "\xa0\xad" for c in text[x:y]):
+            continue  # letters of another script among Latin ones, soft hyphens and spaces are problem 2
         back = invert(text[x:y], chain)
         if back is None or back == text[x:y] or "�" in back:
             continue
@@ -278,9 +327,12 @@ def repair(model: Model, text: str) -> tuple[str, str, bool] | None:
 
 
 def fit(questions: DataFrame, sample_fields: int = SAMPLE_FIELDS) -> Model | None:
-    """Fits the classifier on at most sample_fields fields, those whose identity hashes lowest."""
-    texts = sampled_texts(question_fields(questions), sample_fields)
-    return Model(texts) if texts else None
+    """Fits the classifier on at most sample_fields fields, those whose identity hashes lowest; what a chain's inverse is
+    judged by, the characters and their pairs, is counted over all fields."""
+    fields = question_fields(questions)
+    total = fields.where(F.length("text") > 0).count()
+    texts = sampled_texts(fields, sample_fields, total)
+    return Model(texts, hashed_counts(fields.select("text"), 0x10000 + PAIRS, usage_hashes, 1), total) if texts else None
 
 
 def repaired_fields(questions: DataFrame, model: Model | None = None) -> DataFrame:
