@@ -1,11 +1,13 @@
 """Noise in text from scanned pages (problem 5).
 
-Lines are labelled by a hidden Markov model: HEADER (running header, footer, page number), BODY (a line that ends where
-the text ends or a listed statement begins) and BREAK (a line cut off within the running text). The emissions are layout
+Lines are labelled by a linear-chain conditional model: HEADER (running header, footer, page number), BODY (a line that ends where
+the text ends or a listed statement begins) and BREAK (a line cut off within the running text). It looks at layout
 features: how the line begins and ends, what the next one begins with, its length, its share of digits, how much its
-character pairs look like page furniture, how usual the text across the line end is. The model is counted on a bounded
-sample of the table's fields, with line breaks and furniture put in synthetically. Headers are dropped and broken lines
-joined (hyphens at the cut removed) to give continuous paragraphs.
+character pairs look like page furniture, how usual the text across the line end is, and some of these in pairs. The
+weights of features, starts and transitions are an averaged structured perceptron's, trained on a bounded sample of the
+table's fields with line breaks and furniture put in synthetically; the best sequence of labels (Viterbi) decides, and
+no rule overrides it. Headers are dropped and broken lines joined (hyphens
+at the cut removed) to give continuous paragraphs.
 
 Misread and stray characters are a noisy channel on top: a table of confusions proposes what a rare spot may have been,
 and character trigrams counted over all fields (hashed, digits masked) tell whether that is far more usual.
@@ -26,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from examforge.llm import confusables, mojibake
-from examforge.llm.common import codepoints, hashed_counts, question_fields, sampled_texts
+from examforge.llm.common import chunks, codepoints, hashed_counts, question_fields, sampled_texts
+from examforge.session import checkpointed, small
 
 TRIGRAMS = 1 << 21
 SAMPLE_FIELDS = 12_000
+#: Banks whose names give the words of synthetic page furniture.
+SAMPLE_BANKS = 1_000
 HEADER, BODY, BREAK = range(3)
 PAIRS = 1 << 14
 #: Mean log-odds of its character pairs from which a line is passed over as furniture when looking for the next one.
@@ -87,7 +92,8 @@ def trigram_hashes(texts: list[str]) -> np.ndarray:
 
 
 class Usage:
-    """Log-frequencies of masked trigrams, scaled to the counts of 100,000 fields at most."""
+    """Log-frequencies of masked trigrams, scaled down to the counts of 100,000 fields. Tables with fewer fields aren't
+    scaled up: a count of one is no sign of a usual spot, however small the table."""
 
     def __init__(self, counts: np.ndarray, fields: int):
         self.logs = np.log(counts / max(1.0, fields / 100_000) + 0.3).astype(np.float32)
@@ -158,6 +164,60 @@ def misreadings(text: str, usage: Usage) -> tuple[str, int]:
     return "".join(out), len(found)
 
 
+@lru_cache(maxsize=1)
+def _options() -> tuple[np.ndarray, ...]:
+    """What the channel proposes, sorted by first character: it, the second one or 0, width, what is meant (two columns),
+    its length."""
+    rows = []
+    for source, meanings in [*CONFUSIONS.items(), *((c, ("",)) for c in STRAY)]:
+        for m in meanings:
+            x, y = [*map(ord, source), 0][:2], [*map(ord, m), 0, 0][:2]
+            rows.append((*x, len(source), *(48 if 48 <= c < 58 else c for c in y), len(m)))
+    rows.sort()
+    return tuple(np.array(rows, np.int64).T)
+
+
+def _context_logs(usage: Usage, left: np.ndarray, middle: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum, number and least of the log-frequencies of the trigrams of two characters, the middle and two characters; those
+    that reach over a text's end don't count."""
+    line = np.concatenate((left, middle, right), axis=1).astype(np.uint32)
+    logs = np.stack([usage.logs[_trigrams(line[:, k : k + 3].T).T[:, 0]] for k in range(line.shape[1] - 2)], axis=1)
+    ok = np.ones(logs.shape, bool)
+    ok[:, 0] = left[:, 1] != 1
+    ok[:, -1] &= right[:, 0] != 1
+    return np.where(ok, logs, 0).sum(axis=1), ok.sum(axis=1), np.where(ok, logs, np.inf).min(axis=1)
+
+
+def likely_misread(raw: np.ndarray, usage: Usage) -> np.ndarray:
+    """Places in the joined texts at which some proposal gains enough, all of them at once: every spot that `misreadings`
+    would correct first in a text is among them, so texts without any need not be gone through."""
+    masked = np.where((raw >= 48) & (raw < 58), np.uint32(48), raw)
+    at = spots(masked, usage)
+    at = at[(at > 1) & (at < len(raw) - 3)]
+    first, second, width, m0, m1, length = _options()
+    lo, hi = np.searchsorted(first, raw[at], "left"), np.searchsorted(first, raw[at], "right")
+    n = hi - lo
+    at = np.repeat(at, n)
+    option = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    fits = (width[option] == 1) | (raw[at + 1] == second[option])
+    at, option = at[fits], option[fits]
+    out = []
+    for w in (1, 2):
+        for k in (0, 1, 2):
+            pick = (width[option] == w) & (length[option] == k)
+            i, o = at[pick], option[pick]
+            if not len(i):
+                continue
+            i, o = i[i + w + 1 < len(raw)], o[i + w + 1 < len(raw)]
+            left, right = np.stack((masked[i - 2], masked[i - 1]), 1), np.stack((masked[i + w], masked[i + w + 1]), 1)
+            is_now, n_now, least = _context_logs(usage, left, np.stack([masked[i + x] for x in range(w)], 1), right)
+            was, n_was, _ = _context_logs(usage, left, np.stack((m0[o], m1[o]), 1)[:, :k], right)
+            ok = (n_now > 0) & (n_was > 0) & (least <= RARE)
+            gain = np.where(ok, was / np.maximum(n_was, 1) - is_now / np.maximum(n_now, 1), -1)
+            out.append(i[gain > GAIN - 1e-3])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def _codes(chars: list[str]) -> np.ndarray:
     cps = np.array([ord(x) for c in chars for x in c], np.uint32)
     return np.where((cps >= 48) & (cps < 58), np.uint32(48), cps)
@@ -171,17 +231,18 @@ def _pairs(line: str) -> np.ndarray:
 
 
 class Lines:
-    """The hidden Markov model, counted on synthetically broken and furnished fields."""
+    """The line model: weights of a linear chain over HEADER, BODY and BREAK."""
 
-    SIZES = (2, 4, 8, 4, 6, 6, 8)  # of the features
+    #: Values of the features, and the features that are looked at in pairs as well.
+    SIZES = (2, 4, 8, 4, 6, 6, 8, 8, 8)
+    TOGETHER = ((1, 2), (1, 6), (7, 4), (7, 5), (4, 5), (0, 1), (7, 6), (8, 7), (8, 5))
+    #: Between the bins of a line's furniture score.
+    SCORES = (-12.0, -6.0, -2.0, 2.0, 6.0, 12.0, 20.0)
+    ROUNDS = 4
 
     def __init__(self, texts: list[str], banks: list[str], usage: Usage, seed: int = 5):
         self.usage = usage
-        r = np.random.default_rng(seed)
-        whole = [t.strip() for t in texts]
-        whole = [t for t in whole if len(t) > 3 and all(_MARKER.match(x) for x in t.split("\n")[1:])]
-        parts = sorted({p for b in banks for p in b.rsplit("/", 1)[-1].rsplit(".", 1)[0].split("-") if len(p) > 1 and not p.isdigit()}) or ["科目"]
-        made = [_spoil(t, r, parts) if r.random() < 0.6 else ([x for x in t.split("\n")], [BODY] * (t.count("\n") + 1)) for t in whole]
+        made = spoiled(texts, banks, seed)
         # furniture or text, by character pairs
         counts = np.full((2, PAIRS), 0.2)
         for lines, labels in made:
@@ -189,68 +250,106 @@ class Lines:
                 np.add.at(counts[int(label == HEADER)], _pairs(line), 1)
         logs = np.log(counts / counts.sum(axis=1, keepdims=True))
         self.furniture = np.clip(logs[1] - logs[0], -6, 6).astype(np.float32)
-        self.start, self.step = np.ones(3), np.ones((3, 3))
-        self.emit = [np.ones((3, n)) for n in self.SIZES]
-        for lines, labels in made:
-            for k, label in enumerate(labels):
-                if k:
-                    self.step[labels[k - 1], label] += 1
-                else:
-                    self.start[label] += 1
-                for table, value in zip(self.emit, self._features(lines, k)):
-                    table[label, value] += 1
-        self.start = np.log(self.start / self.start.sum())
-        self.step = np.log(self.step / self.step.sum(axis=1, keepdims=True))
-        self.emit = [np.log(t / t.sum(axis=1, keepdims=True)) for t in self.emit]
-
-    def _features(self, lines: list[str], k: int) -> list[int]:
-        line, bare = lines[k], lines[k].strip()
-        after = self._after(lines, k)
-        dense = "".join(bare.split())
-        end = 0 if not bare else 1 if bare[-1] in _FINAL else 2 if bare[-1] in "，、,；;" else 3 if bare[-1] in _HYPHENS else 4 if bare[-1].isdigit() else 5 if bare[-1] in "）)】」" else 6 if line[-1:].isspace() else 7
-        follows = self._follows(lines, k)
-        size = int(np.searchsorted((3, 6, 10, 16, 30), len(dense)))
-        digits = int(np.searchsorted((0.01, 0.1, 0.3, 0.5, 0.8), sum(c.isdigit() or c in "OlZSb" for c in dense) / max(len(dense), 1)))
-        across = 7
-        if after is not None and dense:
-            joined = _codes(["\x01", *dense[-2:], *"".join(after.split())[:2]])[-4:]
-            across = int(np.clip((self.usage.of(joined).mean() if len(joined) > 2 else 0) + 1.2, 0, 6.9))
-        return [int(bool(_MARKER.match(line))), follows, end, min(3, int(bare == "") + 2 * int(bool(line) and line[0].isspace())), size, digits, across]
-
-    def _after(self, lines: list[str], k: int) -> str | None:
-        """The next line that doesn't read like furniture."""
-        return next((x for x in lines[k + 1 :] if x.strip() and self.furnished(x) < FURNISHED), None)
-
-    def _follows(self, lines: list[str], k: int) -> int:
-        after = self._after(lines, k)
-        return 0 if after is None else 1 if _MARKER.match(after) else 2 if after[:1].isspace() else 3
-
-    def furnished(self, line: str) -> float:
-        """How much the line reads like furniture: log-odds a character pair."""
-        p = _pairs(line)
-        return float(self.furniture[p].mean())
+        sizes = [*self.SIZES, *(self.SIZES[x] * self.SIZES[y] for x, y in self.TOGETHER)]
+        self.offsets = np.cumsum([0, *sizes[:-1]])
+        self.weights, self.start, self.step = np.zeros((sum(sizes), 3)), np.zeros(3), np.zeros((3, 3))
+        self._train([(self.places(lines), np.array(labels)) for lines, labels in made if len(lines) > 1], seed)
+
+    def _train(self, rows: list[tuple[np.ndarray, np.ndarray]], seed: int) -> None:
+        """Averaged perceptron: weights move from the sequence that wins to the right one; the mean of all states is kept."""
+        r = np.random.default_rng(seed)
+        state = (self.weights, self.start, self.step)
+        late = [np.zeros_like(x) for x in state]  # updates weighted by when they came
+        t = 1
+        for _ in range(self.ROUNDS):
+            for i in r.permutation(len(rows)):
+                at, right = rows[i]
+                if not np.array_equal(got := np.array(self._best(at)), right):
+                    for labels, by in ((right, 1.0), (got, -1.0)):
+                        for table, scale in ((state, by), (late, by * t)):
+                            np.add.at(table[0], (at, labels[:, None]), scale)
+                            table[1][labels[0]] += scale
+                            np.add.at(table[2], (labels[:-1], labels[1:]), scale)
+                t += 1
+        for x, y in zip(state, late):
+            x -= y / t
+
+    def places(self, lines: list[str]) -> np.ndarray:
+        """For each line the rows of the weights that its features and pairs of features pick."""
+        f = self.features(lines)
+        pairs = [f[:, x] * self.SIZES[y] + f[:, y] for x, y in self.TOGETHER]
+        return np.concatenate((f, np.stack(pairs, axis=1)), axis=1) + self.offsets
+
+    def features(self, lines: list[str]) -> np.ndarray:
+        """A row of features for each line; everything that looks at a single line is computed once."""
+        pairs = [_pairs(x) for x in lines]
+        ends = np.cumsum([len(p) for p in pairs])
+        score = np.add.reduceat(self.furniture[np.concatenate(pairs)], np.append(0, ends[:-1]))
+        furnished = score / np.diff(np.append(0, ends)) >= FURNISHED
+        bare = [x.strip() for x in lines]
+        dense = ["".join(x.split()) for x in bare]
+        marker = [int(bool(_MARKER.match(x))) for x in lines]
+        out = np.zeros((len(lines), len(self.SIZES)), np.int64)
+        out[:, 7] = np.searchsorted(self.SCORES, score)
+        after = None  # the next line that doesn't read like furniture
+        across: dict[int, list[str]] = {}
+        without: dict[int, list[str]] = {}  # the line before and the line after, if this one were left out
+        for k in range(len(lines) - 1, -1, -1):
+            line, b, d = lines[k], bare[k], dense[k]
+            end = 0 if not b else 1 if b[-1] in _FINAL else 2 if b[-1] in "，、,；;" else 3 if b[-1] in _HYPHENS else 4 if b[-1].isdigit() else 5 if b[-1] in "）)】」" else 6 if line[-1:].isspace() else 7
+            follows = 0 if after is None else 1 if marker[after] else 2 if lines[after][:1].isspace() else 3
+            digits = sum(c.isdigit() or c in "OlZSb" for c in d) / max(len(d), 1)
+            out[k, :7] = marker[k], follows, end, min(3, int(b == "") + 2 * int(line[:1].isspace())), np.searchsorted((3, 6, 10, 16, 30), len(d)), np.searchsorted((0.01, 0.1, 0.3, 0.5, 0.8), digits), 7
+            if after is not None and d:
+                across[k] = ["\x01", *d[-2:], *dense[after][:2]][-4:]
+                before = next((x for x in range(k - 1, -1, -1) if dense[x] and not furnished[x]), None)
+                if before is not None:
+                    without[k] = ["\x01", *dense[before][-2:], *dense[after][:2]][-4:]
+                    without[~k] = ["\x01", *dense[before][-2:], *d[:2]][-4:]
+            if b and not furnished[k]:
+                after = k
+        usual = lambda joined: float(logs.mean()) if len(logs := self.usage.of(_codes(joined))) else 0.0
+        for k, joined in across.items():
+            out[k, 6] = int(np.clip(usual(joined) + 1.2, 0, 6.9))
+            out[k, 8] = int(np.clip((usual(without[k]) - usual(without[~k])) / 1.5 + 4, 1, 7.9)) if k in without else 0
+        return out
 
     def labels(self, lines: list[str]) -> list[int]:
-        score, back = None, []
-        for k, line in enumerate(lines):
-            own = sum(t[:, v] for t, v in zip(self.emit, self._features(lines, k)))
-            own = own + np.array([1.0, 0.0, 0.0]) * float(np.clip(self.furniture[_pairs(line)].sum(), -30, 30))
-            if self._follows(lines, k) < 2:
-                own[BREAK] -= 50  # nothing to join, or a listed statement follows
-            else:
-                own[BODY] -= 50
-            if score is None:
-                score = self.start + own
-            else:
-                paths = score[:, None] + self.step
-                back.append(paths.argmax(axis=0))
-                score = paths.max(axis=0) + own
-        out = [int(score.argmax())]
-        for b in reversed(back):
-            out.append(int(b[out[-1]]))
+        """The best sequence of labels."""
+        return self._best(self.places(lines))
+
+    def _best(self, places: np.ndarray) -> list[int]:
+        own = self.weights[places].sum(axis=1).tolist()
+        step = self.step.tolist()
+        score, back = [s + o for s, o in zip(self.start.tolist(), own[0])], []
+        for row in own[1:]:
+            came = [max(range(3), key=lambda x: score[x] + step[x][y]) for y in range(3)]  # noqa: B023
+            score = [score[x] + step[x][y] + row[y] for y, x in enumerate(came)]
+            back.append(came)
+        out = [max(range(3), key=score.__getitem__)]
+        for came in reversed(back):
+            out.append(came[out[-1]])
         return out[::-1]
 
 
+_ENDS = (" ", "  ", "」", " ！", "、")
+
+
+def spoiled(texts: list[str], banks: list[str], seed: int) -> list[tuple[list[str], list[int]]]:
+    """Lines and labels of the texts that are whole (one line, or statements listed on lines of their own), three in five
+    of them broken and furnished."""
+    r = np.random.default_rng(seed)
+    whole = [t.strip() for t in texts]
+    whole = [t for t in whole if len(t) > 3 and all(_MARKER.match(x) for x in t.split("\n")[1:])]
+    parts = sorted({p for b in banks for p in b.rsplit("/", 1)[-1].rsplit(".", 1)[0].split("-") if len(p) > 1 and not p.isdigit()}) or ["科目"]
+    out = []
+    for t in whole:
+        lines, labels = _spoil(t, r, parts) if r.random() < 0.6 else (t.split("\n"), [BODY] * (t.count("\n") + 1))
+        # stray blanks and signs at the ends of lines are no sign of a break
+        out.append(([x + _ENDS[r.integers(len(_ENDS))] if k == BODY and r.random() < 0.1 else x for x, k in zip(lines, labels)], labels))
+    return out
+
+
 _NOISY = {"0": "O", "1": "l", "5": "S", "2": "Z", "6": "b"}
 
 
@@ -298,15 +397,15 @@ class Scanner:
         self.lines, self.usage = lines, usage
 
     def suspects(self, texts: list[str]) -> list[int]:
-        """Numbers of the texts with several lines or with a spot that may be misread."""
-        out = {i for i, t in enumerate(texts) if "\n" in t or "\r" in t}
-        if texts:
-            cps = _masked(["\x01", *texts])
-            ends = np.flatnonzero(cps == 1)[1:]  # the sign after each text; texts that hold the sign are looked at anyway
-            if len(ends) != len(texts) + 1:
-                return list(range(len(texts)))
-            out.update(np.unique(np.searchsorted(ends[1:], spots(cps, self.usage))).tolist())
-        return sorted(i for i in out if i < len(texts))
+        """Numbers of the texts with several lines or with a spot that is likely misread."""
+        out = {i for i, t in enumerate(texts) if "\n" in t or "\r" in t or "\x01" in t}
+        plain = [i for i in range(len(texts)) if i not in out]
+        for a, b in chunks([texts[i] for i in plain]):
+            part = ["".join(texts[i].split()) for i in plain[a:b]]
+            raw, starts = codepoints(["\x01", *(t + "\x01" for t in part)])
+            hits = np.searchsorted(starts, likely_misread(raw, self.usage), "right") - 2
+            out.update(plain[a + k] for k in np.unique(hits).tolist())
+        return sorted(out)
 
     def repair(self, text: str) -> tuple[str, str] | None:
         """(repaired text, kinds of noise), None if there is none."""
@@ -345,39 +444,44 @@ def _joined(a: str, b: str) -> str:
     return a + (" " if a[-1].isascii() and b[0].isascii() and (a[-1].isalnum() or a[-1] in ",.;:") and b[0].isalnum() else "") + b
 
 
-def fit(questions: DataFrame, sample_fields: int = SAMPLE_FIELDS) -> Scanner:
-    """Counts trigrams over all fields, and the line model on at most sample_fields fields that hash lowest."""
+def fit(questions: DataFrame, sample_fields: int = SAMPLE_FIELDS, sample_banks: int = SAMPLE_BANKS) -> Scanner:
+    """Counts trigrams over all fields, and the line model on at most sample_fields fields and the names of at most
+    sample_banks banks, those that hash lowest."""
     fields = question_fields(questions)
     counts = hashed_counts(fields.select("text"), TRIGRAMS, trigram_hashes)
     total = fields.count()
     usage = Usage(counts, total)
     texts = sampled_texts(fields, sample_fields, total)
-    banks = [r[0] for r in questions.where(F.col("bank").isNotNull()).groupBy("bank").count().orderBy(F.xxhash64("bank")).limit(1000).select("bank").toLocalIterator()]
+    banks = [r[0] for r in questions.where(F.col("bank").isNotNull()).groupBy("bank").count().orderBy(F.xxhash64("bank")).limit(sample_banks).select("bank").toLocalIterator()]
     return Scanner(Lines(texts, banks, usage) if texts else None, usage)
 
 
-def repaired_fields(questions: DataFrame, scanner: Scanner | None = None, model: mojibake.Model | None = None, known: confusables.Vocabulary | None = None) -> DataFrame:
-    """(row_id, field_no, text, repaired, kinds) of the fields with scanning noise, those of problems 1 and 2 left out."""
+_FOUND = "row_id bigint, field_no bigint, text string, repaired string, kinds string"
+
+
+def repaired_fields(questions: DataFrame, scanner: Scanner | None = None, model: mojibake.Model | None = None) -> DataFrame:
+    """(row_id, field_no, text, repaired, kinds) of the fields with scanning noise, those of problems 1 and 2 left out.
+
+    Only the fields found are given to the operators of problems 1 and 2.
+    """
     scanner = scanner or fit(questions)
     model = model or mojibake.fit(questions)
-    known = known or confusables.vocabulary(questions)
     fields = question_fields(questions)
-    shared = fields.sparkSession.sparkContext.broadcast((scanner, model, known))  # tables of fixed size
+    shared = fields.sparkSession.sparkContext.broadcast((scanner, model))  # tables of fixed size
 
     def search(batches):
-        s, m, v = shared.value
+        s, m = shared.value
         for b in batches:
             texts = b.column(2).to_pylist()
-            odd = set(confusables.odd_fields(texts).tolist())
             rows = []
             for i in s.suspects(texts):
                 text = texts[i]
-                if not text.strip() or not (r := s.repair(text)):
-                    continue
-                if i in odd and confusables.normalize(text, v)[1] or m and mojibake.repair(m, text):
+                if not text.strip() or not (r := s.repair(text)) or m and mojibake.repair(m, text):
                     continue
                 rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), text, *r))
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["row_id", "field_no", "text", "repaired", "kinds"])
 
-    return fields.mapInArrow(search, "row_id bigint, field_no bigint, text string, repaired string, kinds string")
+    found = checkpointed(fields.mapInArrow(search, _FOUND))
+    other = confusables.normalized(found.select("row_id", "field_no", "text"), fields, model).select("row_id", "field_no")
+    return found.join(other, ["row_id", "field_no"], "left_anti").select("row_id", "field_no", "text", "repaired", "kinds")

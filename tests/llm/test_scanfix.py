@@ -38,9 +38,35 @@ def test_not_noise(scanner, text):
 
 def test_fields_nulls_and_empty_tables(questions, rows, scanner, spark):
     q = questions([(1, STEM[:9] + "\n" + STEM[9:], [None, "", "氷"]), (2, None, None), (3, "\uff21\uff22\n" + STEM, [])])
-    from examforge.llm import confusables, mojibake
+    from examforge.llm import mojibake
 
     base = spark.read.parquet("/root/testdata/sf0.01/questions.parquet")
-    found = scanfix.repaired_fields(q, scanner, mojibake.fit(base, 5000), confusables.vocabulary(base))
+    found = scanfix.repaired_fields(q, scanner, mojibake.fit(base, 5000))
     assert rows(found.select("row_id", "field_no")) == [(1, 0)]
     assert rows(scanfix.repaired_fields(questions([]))) == []
+
+
+def test_held_out_labels_and_what_transitions_add(spark):
+    base = spark.read.parquet("/root/testdata/sf0.1/questions.parquet")
+    scanner = scanfix.fit(base, 6_000)
+    texts = [r[0] for r in base.where("row_id % 3 = 1").select("question").where("question is not null").collect()]
+    held = [x for x in scanfix.spoiled(texts, ["questions/98科目-組別-植物保護-000001.json"], 77) if len(x[0]) > 1]
+    lines = scanner.lines
+
+    def accuracy():
+        labels = [lines.labels(x) for x, _ in held]
+        return labels, sum(a == b for got, (_, right) in zip(labels, held) for a, b in zip(got, right)) / sum(len(x) for x, _ in held)
+
+    with_steps, share = accuracy()
+    kept = lines.step, lines.start
+    lines.step, lines.start = 0 * lines.step, 0 * lines.start
+    without, less = accuracy()
+    lines.step, lines.start = kept
+    assert share > 0.985 and share > less and with_steps != without
+
+
+def test_likely_spots_miss_no_correction(scanner, spark):
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/questions.parquet").select("question").where("question is not null").collect()]
+    texts += ["", "氷", "衍", "O", "_", "6S8", "vv", "\x01氷", "氷\x01", STEM.replace("水", "氷"), "X" + "氷" * 3]
+    found = set(scanner.suspects(texts))
+    assert {i for i, t in enumerate(texts) if scanfix.misreadings(t, scanner.usage)[1]} <= found
