@@ -87,6 +87,31 @@ def test_one_sided_edits_are_found_at_the_production_parameters(tables, rows):
         assert similarity >= 1 - want[i] / len(items[i][2]) - 1e-9
 
 
+@pytest.mark.parametrize("lang, lengths, symbols", [("zh", (51, 80), "蓄水塔燃油濾清器檢查更換煞車下列何者正確灌區公尺測試標示腐植質堆肥後視鏡進水閘門"), ("en", (110, 160), "etaoinshrdlucmfw ygpbvk")])
+def test_recall_at_the_production_parameters_with_edits_at_random_places(tables, lang, lengths, symbols):
+    r = random.Random(3)
+    items, docs, of = [], [], {}
+    for kind in ("substitute", "insert", "delete", "mixed"):
+        for rate in (0.03, 0.06, 0.09):
+            for k in range(20):
+                i, n = len(items), r.choice(lengths)
+                p = "".join(r.choices(symbols, k=n))
+                c = list(p)
+                for at in sorted(r.sample(range(n), int(rate * len(leakage.squash(p)))), reverse=True):
+                    how = r.choice(("substitute", "insert", "delete")) if kind == "mixed" else kind
+                    c[at : at + (how != "insert")] = [] if how == "delete" else [r.choice("改換新zqx")]
+                items.append((i, lang, p))
+                docs.append((i, "".join(r.choices("天地玄黃", k=40)) + "".join(c) + "".join(r.choices("天地玄黃", k=40))))
+                of.setdefault((kind, rate), set()).add((i, i))
+    found = {(f.doc_id, f.item_id) for f in leakage.edited_leaks(*tables(docs, items)).collect()}
+    for case, pairs in of.items():
+        assert len(pairs & found) >= 0.9 * len(pairs), case
+
+
+def test_repetitions_follow_from_the_target():
+    assert 1 <= leakage.repetitions_for(0.9, 0.5) <= leakage.repetitions_for(0.9, 0.9) <= leakage.repetitions_for(0.9, 0.99) < 64
+
+
 def test_nearest_is_the_least_distance_to_any_part():
     import numpy as np
 
