@@ -8,39 +8,74 @@ from examforge.operators import catalog
 from examforge.plans.base import Plans, table
 
 plans = Plans()
-_STEM = "regexp_extract(file, '([^/]+)\\.json$', 1)"
-_PART = "nullif(regexp_extract({stem}, '^(\\d{{2,3}})([^-]+)-([^-]+)-([^-]+)-(\\d+)$', {i}), '')"
-_COLLECTION = """CASE WHEN regexp_matches(concat_ws(' ', source, subject), '交通|汽車|機械') THEN 'traffic' WHEN regexp_matches(concat_ws(' ', source, subject), '農田|農業|栽培') THEN 'irrigation'
-    WHEN regexp_matches(concat_ws(' ', source, subject), '統測|管理|會計') THEN 'exam' ELSE 'other' END"""
-
-
-def _p(i: int) -> str:
-    return _PART.format(stem=_STEM, i=i)
-
-
-@plans.add(f"""
-    SELECT file, {_STEM} AS stem, {_p(1)} AS year, {_p(2)} AS source, {_p(3)} AS category, {_p(4)} AS subject, CAST({_p(5)} AS INTEGER) AS number,
-           CASE WHEN {_p(4)} IS NOT NULL THEN {_p(1)} || ' ' || {_p(4)} || '（' || {_p(3)} || '）' ELSE {_STEM} END AS shown FROM banks""")
+_STEM = "regexp_replace(trim(regexp_extract(file, '([^/]+)\\.json$', 1)), '\\s*\\(\\d+\\)$', '')"
+_ALIAS = "CASE {s} WHEN '公文及法學緒論' THEN '公文與法學緒論' WHEN '公文與農田水利相關法規' THEN '公文與法學緒論' WHEN '法學緒論' THEN '公文與法學緒論' WHEN '灌溉排水概要' THEN '農田灌溉排水概要' WHEN '農業概要' THEN '農業概論' ELSE {s} END"
+_PARTS = f"""
+    SELECT file, stem, CASE WHEN joint THEN j1 WHEN traffic THEN t1 ELSE year END AS year,
+           CASE WHEN joint THEN j2 WHEN traffic THEN '交通部' WHEN TRY_CAST(nullif(year, '') AS INTEGER) >= 113 THEN '農田水利署' ELSE '農田水利' END AS source,
+           CASE WHEN joint THEN CASE j2 WHEN '統測專二' THEN '商業與管理群' WHEN '統測農概' THEN '農業群' ELSE '' END
+                WHEN traffic THEN CASE WHEN t2 <> '' THEN '第' || t2 || '梯次' ELSE '年度檢定' END
+                WHEN TRY_CAST(nullif(year, '') AS INTEGER) >= 113 AND context = '農田水利署' THEN CASE WHEN subject = '公文與法學緒論' THEN '共同科目' ELSE '專業科目' END ELSE context END AS category,
+           CASE WHEN joint THEN {_ALIAS.format(s='j3')} WHEN traffic THEN t3 ELSE subject END AS subject,
+           CASE WHEN joint THEN j3 WHEN traffic THEN t3 ELSE last END AS original
+    FROM (SELECT *, {_ALIAS.format(s='last')} AS subject FROM (
+      SELECT *, coalesce(pieces[-1], rest) AS last, array_to_string(pieces[1:len(pieces) - 1], ' / ') AS context FROM (
+        SELECT *, list_filter(list_transform(string_split(rest, ' - '), lambda x: trim(x)), lambda x: x <> '') AS pieces FROM (
+          SELECT *, CASE WHEN year <> '' THEN trim(substr(name, 4)) ELSE name END AS rest FROM (
+            SELECT *, regexp_extract(name, '^(\\d{{3}})\\s*\\S', 1) AS year FROM (
+              SELECT file, {_STEM} AS stem, trim(regexp_replace(regexp_replace(replace({_STEM}, '_', ' '), '\\s*-\\s*', ' - ', 'g'), '\\s+', ' ', 'g')) AS name,
+                     regexp_matches({_STEM}, '^\\d{{3}}統測[^-]+-.+$') AS joint, regexp_matches({_STEM}, '^交通部\\d{{3}}(-\\d+)?-.+$') AS traffic,
+                     regexp_extract({_STEM}, '^(\\d{{3}})(統測[^-]+)-(.+)$', 1) AS j1, regexp_extract({_STEM}, '^(\\d{{3}})(統測[^-]+)-(.+)$', 2) AS j2, regexp_extract({_STEM}, '^(\\d{{3}})(統測[^-]+)-(.+)$', 3) AS j3,
+                     regexp_extract({_STEM}, '^交通部(\\d{{3}})(-(\\d+))?-(.+)$', 1) AS t1, regexp_extract({_STEM}, '^交通部(\\d{{3}})(-(\\d+))?-(.+)$', 3) AS t2, regexp_extract({_STEM}, '^交通部(\\d{{3}})(-(\\d+))?-(.+)$', 4) AS t3
+              FROM banks))))))"""
+_SHELF = "CASE WHEN coalesce(source, '') = '統測專二' THEN 'tve-business' ELSE 'irrigation' END"
+_TRAFFIC = "coalesce(source IN ('交通部'), contains(file, '交通部'))"
+
+
+@plans.add(_PARTS)
 def catalog_from_paths(spark, d):
-    return table(spark, d, "banks").select("file", *[c.alias(n) for n, c in catalog.bank_parts(F.col("file")).items()])
+    parts = catalog.bank_parts(F.col("file"))
+    return table(spark, d, "banks").select("file", *[parts[n].alias(n) for n in ("stem", "year", "source", "category", "subject", "original")])
 
 
 @plans.add(f"""
-    WITH b AS (SELECT {_COLLECTION} AS collection, n_questions FROM banks)
+    WITH b AS (SELECT {_SHELF} AS collection, n_questions FROM banks)
     SELECT collection, count(*) AS banks, CAST(sum(n_questions) AS BIGINT) AS questions FROM b GROUP BY collection
     UNION ALL SELECT 'all', count(*), CAST(sum(n_questions) AS BIGINT) FROM b""")
 def catalog_facets(spark, d):
     return catalog.facets(table(spark, d, "banks"))
 
 
+@plans.add("""
+    SELECT collection, count(*) AS banks, CAST(sum(n_questions) AS BIGINT) AS questions FROM (
+      SELECT CASE WHEN contains(concat(subject, chr(1), name), '構造') THEN 'traffic-structure' WHEN contains(concat(subject, chr(1), name), '駕駛') THEN 'traffic-theory' ELSE 'traffic-law' END AS collection, n_questions FROM banks)
+    GROUP BY ROLLUP (collection) HAVING collection IS NOT NULL
+    UNION ALL SELECT 'all', count(*), CAST(sum(n_questions) AS BIGINT) FROM banks""")
+def catalog_facets_traffic(spark, d):
+    return catalog.facets(table(spark, d, "banks"), "traffic")
+
+
 @plans.add(f"""
     SELECT file, concat_ws(' / ', nullif(source, ''), nullif(category, ''), CASE WHEN originalsubject IS DISTINCT FROM subject THEN nullif(originalsubject, '') END) AS meta FROM banks
-    WHERE contains(lower(concat_ws(' ', file, name, displayname, year_label, source, category, subject, originalsubject)), '農') AND {_COLLECTION} = 'irrigation'""")
+    WHERE {_SHELF} = 'irrigation' AND contains(lower(concat_ws(' ', nullif(year_label, ''), nullif(subject, ''), nullif(originalsubject, ''), nullif(source, ''), '農田水利招考', nullif(category, ''), nullif(name, ''), nullif(displayname, ''), nullif(file, ''))), '農業')""")
 def catalog_search(spark, d):
-    found = catalog.search(table(spark, d, "banks"), "農", "irrigation")
+    found = catalog.search(table(spark, d, "banks"), " 農業", "irrigation", titles={"irrigation": "農田水利招考"})
     return found.select("file", catalog.meta(F.col("source"), F.col("category"), F.col("originalsubject"), F.col("subject")).alias("meta"))
 
 
+@plans.add(f"SELECT file, CASE WHEN {_TRAFFIC} THEN 'traffic' ELSE 'irrigation' END AS track FROM banks")
+def bank_tracks(spark, d):
+    b = table(spark, d, "banks").select(F.col("file").alias("bank"), "source")
+    index = b.select(F.col("bank").alias("file"), "source")
+    both = [catalog.in_track(b.select("bank"), t, index).withColumn("track", F.lit(t)) for t in ("traffic", "irrigation")]
+    return both[0].unionByName(both[1]).select(F.col("bank").alias("file"), "track")
+
+
+@plans.add("SELECT file, coalesce(nullif(source, ''), '農田水利') AS source, coalesce(nullif(subject, ''), name) AS subject FROM banks")
+def catalog_defaults(spark, d):
+    return catalog.filled(table(spark, d, "banks")).select("file", "source", "subject")
+
+
 @plans.add("""
     SELECT subject, first, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS place FROM (SELECT subject, min(file) AS first FROM banks WHERE subject <> '' GROUP BY subject)""")
 def subject_list(spark, d):

@@ -41,10 +41,10 @@ def override_totals(spark, d):
     return table(spark, d, "overrides").agg(F.count("*").alias("entries"), F.count_if(F.col("warning") != "").alias("warnings"), F.count_if("freescore").alias("free"), F.count_distinct("bank").alias("banks"))
 
 
-@plans.add(f"""
+@plans.add("""
     SELECT row_id, min(row_id) OVER (PARTITION BY key) AS block, count(*) OVER (PARTITION BY key) AS block_size FROM (
-      SELECT row_id, coalesce(bank || chr(30) || coalesce('g' || chr(31) || nullif(groupid, ''), 'm' || chr(31) || coalesce(t.title, '') || chr(31) || t.content), 's' || row_id) AS key
-      FROM (SELECT row_id, bank, groupid, list_filter(materials, lambda m: lower(m.type) = 'text' AND length(coalesce(m.content, '')) > 0)[1] AS t FROM questions))""")
+      SELECT row_id, coalesce(bank || chr(30) || coalesce(nullif(groupid, ''), t.title || chr(31) || coalesce(t.content, '')), 's' || row_id) AS key
+      FROM (SELECT row_id, bank, groupid, list_filter(materials, lambda m: m.type = 'text' AND regexp_matches(coalesce(m.title, ''), '^閱讀資料（第\\s*\\d+\\s*[-－~～]\\s*\\d+\\s*題）$'))[1] AS t FROM questions))""")
 def question_blocks(spark, d):
     q = quiz.blocks(table(spark, d, "questions").select("row_id", "bank", "groupid", "materials"))
     return q.select("row_id", "block", "block_size")
@@ -86,7 +86,7 @@ def block_take_overshoot(spark, d):
 @plans.add()
 def block_take_exact(spark, d):
     b = quiz.blocks(table(spark, d, "questions").select("row_id", "bank", "groupid", "materials")).groupBy("bank", "block").agg(F.count("*").cast("int").alias("size"))
-    return quiz.exact_selection(b, ["bank"], ["block"], "size", 40)
+    return quiz.exact_selection(b, ["bank"], ["block"], "size", 40).select("bank", "block")
 
 
 @plans.add(f"""
@@ -119,11 +119,46 @@ def material_text(spark, d):
 
 @plans.add()
 def quiz_selection(spark, d):
-    spec = quiz.QuizSpec(mode="random", num=50, types=("sc", "mc"), unseen_only=False, seed="42")
+    spec = quiz.QuizSpec(mode="random", num=50, types=("sc", "mc"), seed="42")
     tags = table(spark, d, "overrides").where("freescore").select("bank", "qid", F.lit("exclude").alias("tag"))
     return quiz.select(spec, table(spark, d, "questions"), log(spark, d), table(spark, d, "overrides"), tags).select("row_id", "bank", "id", "block", "qtype")
 
 
+_TAGS = "SELECT bank, CAST(qid AS INTEGER) AS id, CASE WHEN coalesce(freescore, false) THEN 'exclude' WHEN warning <> '' THEN 'key' ELSE '' END AS tag FROM overrides"
+_OWN = f"SELECT * FROM ({LOG}) WHERE user_id = 36"
+_COUNTED = f"SELECT bank, qid, count(*) AS total, count(*) FILTER (WHERE correct) AS n_correct FROM ({_OWN}) WHERE answered GROUP BY bank, qid"
+_POOL = f"""
+    WITH ever AS (SELECT bank, qid, bool_or(NOT correct) AS ever, NOT arg_max(correct, session_id * 100000 + pos) AS still FROM ({_OWN}) GROUP BY bank, qid), counted AS ({_COUNTED}), tags AS ({_TAGS}),
+    items AS (SELECT 'wrong' AS mode, bank, qid FROM ever WHERE ever UNION ALL SELECT 'still-wrong', bank, qid FROM ever WHERE still
+      UNION ALL SELECT 'stat', bank, qid FROM counted WHERE total - n_correct >= 1 AND n_correct * 100 < total * 80
+      UNION ALL SELECT DISTINCT 'key', bank, id FROM tags WHERE tag = 'key' UNION ALL SELECT DISTINCT 'retry', bank, qid FROM ({LOG}) WHERE session_id = 7 AND NOT correct),
+    q AS (SELECT row_id, bank, id, {TYPE} AS qtype FROM questions WHERE (bank, id) NOT IN (SELECT bank, id FROM tags WHERE tag = 'exclude'))
+    SELECT i.mode, q.row_id FROM q JOIN items i ON i.bank = q.bank AND i.qid = q.id WHERE q.qtype IN ('sc', 'mc')
+    UNION ALL SELECT 'unseen', row_id FROM q WHERE qtype IN ('sc', 'mc') AND (bank, id) NOT IN (SELECT bank, qid FROM counted)
+    UNION ALL SELECT 'all', row_id FROM q WHERE qtype IN ('sc', 'mc') AND bank = 'questions/questions.json'
+"""
+
+
+@plans.add(_POOL)
+def quiz_pools(spark, d):
+    o = table(spark, d, "overrides")
+    tags = o.select("bank", "qid", F.when(F.coalesce("freescore", F.lit(False)), "exclude").when(F.col("warning") != "", "key").otherwise("").alias("tag"))
+    out = None
+    for mode in (*quiz.SCOPED, "retry", "unseen", "all"):
+        spec = quiz.QuizSpec(mode=mode, types=("sc", "mc"), user_id=None if mode == "retry" else 36, session_id=7, max_accuracy="80", track="irrigation", banks=("questions/questions.json",) if mode == "all" else ())
+        p = quiz.pool(spec, table(spark, d, "questions"), log(spark, d), tags, table(spark, d, "banks")).select(F.lit(mode).alias("mode"), "row_id")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+@plans.add(f"""
+    SELECT row_id, block FROM (SELECT row_id, block, sum(CASE WHEN row_id = block THEN block_size ELSE 0 END) OVER (ORDER BY block, row_id ROWS UNBOUNDED PRECEDING) - block_size AS before FROM ({BLOCKS})
+      WHERE block IN (SELECT block FROM ({BLOCKS}) WHERE row_id = block ORDER BY block LIMIT 60)) WHERE before < 60""")
+def quiz_in_stored_order(spark, d):
+    none = table(spark, d, "overrides").limit(0)
+    return quiz.select(quiz.QuizSpec(mode="all", num=60), table(spark, d, "questions"), log(spark, d), none).select("row_id", "block")
+
+
 @plans.add("""
     SELECT q.row_id, coalesce(t.tag, '') AS tag FROM questions q
     LEFT JOIN (SELECT bank, CAST(qid AS INTEGER) AS id, CASE WHEN max(CASE WHEN freescore THEN 1 ELSE 0 END) = 1 THEN 'exclude' WHEN count(*) FILTER (WHERE warning <> '') > 0 THEN 'key' ELSE '' END AS tag
