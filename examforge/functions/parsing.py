@@ -9,9 +9,11 @@ WIDE_DIGITS = ("１２３４５６７８９０", "1234567890")
 NUMBERED = r"[（(〔\[]\s*([1-9１-９])\s*[)）〕\]]"
 LETTERED = r"[（(]\s*([A-HＡ-Ｈ])\s*[)）]"
 CIRCLED = "([①-⑧])"
-#: Options that name other options, so that their order must stay.
-CROSS_REFERENCES = r"以上皆|以下皆|上述|前述|[甲乙丙丁]{2,}|僅[甲乙丙丁]|[（(]?[A-D][)）]?\s*[和與及、]\s*[（(]?[A-D]|選項\s*[A-D1-4]"
-#: Terms of penalties that an explanation must keep (fixed values).
+#: Options that name other options, so that their order must stay (fixed values).
+CROSS_REFERENCES = r"選項\([A-D]\)|選項[一二三四1234]|以上皆|皆是|皆非|皆正確|皆錯誤"
+#: A letter of an option that stands by itself (fixed value).
+LONE_LETTER = r"(?:^|[（(,，、\s])[A-D](?:[）),，、\s]|$)"
+#: Terms of penalties that an explanation must keep, and its money ranges (fixed values).
 PENALTIES = {"科或併科": "科或併科", "有期徒刑": "有期徒刑", "拘役": "拘役", "罰金": "(?<!裁)罰金(?!額)", "罰鍰": "罰鍰"}
 MONEY_RANGE = r"新臺幣[^，。；、\s]+以上[^，。；、\s]+以下"
 
@@ -44,7 +46,7 @@ def marked(text: Column, marker: str, sequence: str | None = None) -> Column:
     signs = F.translate(F.array_join(F.regexp_extract_all(text, F.lit(marker), 1), "\x1f"), "１２３４５６７８９ＡＢＣＤＥＦＧＨ", "123456789ABCDEFGH")
     signs = F.filter(F.split(signs, "\x1f"), lambda s: s != "")
     pieces = F.split(text, marker)
-    rest = F.zip_with(F.zip_with(marks, signs, lambda m, s: F.struct(m.alias("m"), s.alias("s"))), F.slice(pieces, 2, 10_000), lambda x, t: F.struct(x["m"].alias("m"), x["s"].alias("s"), t.alias("t")))
+    rest = F.zip_with(F.zip_with(marks, signs, lambda m, s: F.struct(m.alias("m"), s.alias("s"))), F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda x, t: F.struct(x["m"].alias("m"), x["s"].alias("s"), t.alias("t")))
     start = F.array(F.element_at(pieces, 1))
 
     def step(acc: Column, x: Column) -> Column:
@@ -56,7 +58,7 @@ def marked(text: Column, marker: str, sequence: str | None = None) -> Column:
 
     parts = F.aggregate(rest, start, step)
     tidy = lambda t: F.rtrim(F.regexp_replace(F.trim(t), r"\s+", " "), F.lit("。.，,；"))
-    return F.when(text.isNotNull(), F.struct(F.trim(F.element_at(parts, 1)).alias("stem"), F.transform(F.slice(parts, 2, 10_000), tidy).alias("options")))
+    return F.when(text.isNotNull(), F.struct(F.trim(F.element_at(parts, 1)).alias("stem"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), tidy).alias("options")))
 
 
 def numbered_options(text: Column) -> Column:
@@ -71,11 +73,15 @@ def circled_options(text: Column) -> Column:
     return marked(text, CIRCLED, "①②③④⑤⑥⑦⑧")
 
 
-def locked(options: Column) -> Column:
-    """Whether the order of the options matters: they name each other, or are the bare letters or numbers in order."""
-    compact = F.transform(options, lambda o: F.upper(F.regexp_replace(o, r"\s+", "")))
-    bare = F.array_join(compact, "").isin("ABCD", "1234")
-    return F.coalesce(bare | F.exists(options, lambda o: F.upper(o).rlike(CROSS_REFERENCES)), F.lit(False))
+def locked(options: Column, letters: bool = True) -> Column:
+    """Whether the order of the options matters: they refer to each other, or, with letters, are the bare letters A to D or
+    digits 1 to 4 in order or name such a letter by itself."""
+    cross = F.exists(options, lambda o: o.rlike(CROSS_REFERENCES))
+    if not letters:
+        return F.coalesce(cross, F.lit(False))
+    bare = F.transform(options, lambda o: F.upper(F.regexp_replace(o, r"\s+", "")))
+    in_order = (bare == F.array(*map(F.lit, "ABCD"))) | (bare == F.array(*map(F.lit, "1234")))
+    return F.coalesce(cross | in_order | F.exists(options, lambda o: F.upper(o).rlike(LONE_LETTER)), F.lit(False))
 
 
 def units_rebalanced(options: Column) -> Column:
@@ -97,10 +103,18 @@ def field_clean(text: Column) -> Column:
     return F.btrim(t, F.lit(" \t\n:"))
 
 
-def subscripts_joined(text: Column) -> Column:
-    """`H 2 O` as `H2O`: a digit between element letters loses its blanks."""
-    t = F.regexp_replace(text, r"\b([A-Z][a-z]?) (\d)(?= |$)", "$1$2")
-    return F.regexp_replace(t, r"([A-Z][a-z]?\d) ([A-Z][a-z]?)\b", "$1$2")
+#: Names with an index, as the text layer gives them and as they are meant (fixed values).
+_INDEXED = (
+    (r"\bI\s+0\b", "I₀"), (r"\bG\s+0\b", "G₀"), (r"\bT\s+0\b", "T₀"), (r"\b([XY])\s+(\d)\s+年", "$1$2 年"), (r"\bY\s+d\b", "Yd"), (r"\bQ\s+d\b", "Qd"), (r"\bQ\s+s\b", "Qs"),
+    (r"(?<![A-Za-z0-9_])(MU|MP|P)\s+([ABXY])(?=$|[\s，、,。)）＝=]|[\u4e00-\u9fff])", "$1_$2"),
+)
+
+
+def indexes_joined(text: Column) -> Column:
+    """Names of quantities with their index, which the text layer gives as a word of its own."""
+    for pattern, becomes in _INDEXED:
+        text = F.regexp_replace(text, "(?U)" + pattern if pattern.startswith(r"\b") else pattern, becomes)
+    return text
 
 
 def money_ranges(text: Column) -> Column:
@@ -113,24 +127,192 @@ def missing_terms(source: Column, explanation: Column) -> Column:
     return F.concat(terms, F.filter(money_ranges(source), lambda m: ~F.contains(explanation, m)))
 
 
+#: Errors of an explanation that names the other kind of fine (fixed values).
+_CONFUSED = {"罰金": "罰鍰", "罰鍰": "罰金"}
+
+
+def has_penalty(text: Column, term: str) -> Column:
+    return F.coalesce(text.rlike(PENALTIES[term]), F.lit(False))
+
+
+def missing_ranges(source: Column, explanation: Column) -> Column:
+    return F.filter(money_ranges(source), lambda m: ~F.contains(explanation, m))
+
+
+def explanation_errors(source: Column, explanation: Column) -> Column:
+    """Kinds of fine that an explanation confuses: those its source names, and not the other one, while the explanation
+    names only the other one."""
+    wrong = lambda a, b: has_penalty(source, a) & ~has_penalty(source, b) & has_penalty(explanation, b) & ~has_penalty(explanation, a)
+    return F.array_compact(F.array(*[F.when(wrong(a, b), F.lit(a)) for a, b in _CONFUSED.items()]))
+
+
+def explanation_repaired(source: Column, explanation: Column) -> Column:
+    """The explanation with a sentence for each protected term or money range of its source that it lacks."""
+    said = F.trim(explanation)
+    lacks = lambda term: has_penalty(source, term) & ~has_penalty(said, term)
+    ranges = missing_ranges(source, said)
+    more = F.array_compact(F.array(
+        F.when(lacks("科或併科"), F.lit("原文用語是「科或併科」，表示可以單獨科罰金，也可以和其他刑罰一起併科。")),
+        F.when(lacks("罰金"), F.lit("原文的處罰種類是罰金。")), F.when(lacks("罰鍰"), F.lit("原文的處罰種類是罰鍰。")),
+        F.when(F.size(ranges) > 0, F.concat(F.lit("原文金額區間為："), F.array_join(ranges, "、"), F.lit("。"))),
+    ))
+    return F.trim(F.concat_ws(" ", said, F.array_join(more, " ")))
+
+
+#: Articles whose explanation is always the same, without white space (fixed values).
+DELETED = ("（刪除）", "(刪除)", "刪除", "（删除）", "(删除)", "删除")
+BY_AUTHORITY = "^本法施行細則[，,]?由中央主管機關定之。?$"
+IN_FORCE = "^本法自公布日施行。?$"
+
+
 def deleted(text: Column) -> Column:
     """An article whose text says nothing but that it was deleted."""
-    return F.coalesce(F.regexp_replace(text, r"[\s　]", "").isin("（刪除）", "(刪除)", "刪除", "刪除。"), F.lit(False))
+    return F.coalesce(F.regexp_replace(text, r"[\s　]", "").isin(*DELETED), F.lit(False))
+
+
+def article_kind(text: Column) -> Column:
+    """`deleted`, `by_authority`, `in_force` for articles whose explanation is always the same, null for others."""
+    bare = F.regexp_replace(text, r"[\s　]", "")
+    return F.when(deleted(text), "deleted").when(bare.rlike(BY_AUTHORITY), "by_authority").when(bare.rlike(IN_FORCE), "in_force")
+
+
+#: Heading of a reading passage, what it covers (fixed value).
+PASSAGE = r"▲\s*閱讀下文\s*[，,]\s*回答第\s*(\d+)\s*[-－–~～]\s*(\d+)\s*題\s*"
 
 
 def passage_range(text: Column) -> Column:
-    """Struct of first and last question of a passage heading such as `第 11-15 題`; null without one."""
-    pattern = r"第\s*(\d{1,3})\s*(?:題)?\s*(?:至|到|[-~～－—])\s*第?\s*(\d{1,3})\s*題"
-    first, last = (F.regexp_extract(text, pattern, i) for i in (1, 2))
-    return F.when(first != "", F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
+    """Struct of first, last and content of the reading passage that a text opens; null without one. The content ends
+    where a numbered question begins on a new line."""
+    whole = r"(?s)" + PASSAGE + r"(.*?)(?=\n\s*\d+\.|\z)"
+    first, last, content = (F.regexp_extract(text, whole, i) for i in (1, 2, 3))
+    return F.when(first != "", F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), F.trim(content).alias("content")))
+
+
+#: Words that show that a question needs its picture or its table (fixed values).
+IMAGE_HINTS = (r"如\s*[圖表]", r"[圖表]\s*[（(]\s*[一二三四五六七八九十\d]+\s*[)）]", "曲線圖", "附圖", "下[圖表]", "上[圖表]")
+TABLE_HINTS = ("【表", "下表", "如下表", "統計表", "表格", "資料如下", "情形如下")
 
 
 def needs_image(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"如(?:下|上|左|右|附)?\s*圖|圖\s*\d+|下圖|附圖|如圖所示|見圖"), F.lit(False))
+    return F.coalesce(text.rlike("|".join(IMAGE_HINTS)), F.lit(False))
+
 
+def needs_table(text: Column, materials: Column | None = None) -> Column:
+    """A question that speaks of a table and has no material yet."""
+    hint = F.coalesce(text.rlike("|".join(TABLE_HINTS)), F.lit(False))
+    return hint if materials is None else hint & (F.coalesce(F.size(materials), F.lit(0)) <= 0)
 
-def needs_table(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"如(?:下|上|附)?\s*表|下表|附表|表\s*\d+"), F.lit(False))
+
+def source_line(question: Column, options: Column) -> Column:
+    """A question as its paper has it: the options, numbered, in the place of the first blank line, else behind the stem."""
+    inline = F.array_join(F.transform(options, lambda o, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(")"), o)), "")
+    at = F.instr(question, "______")
+    filled = F.concat(F.substr(question, F.lit(1), at - 1), inline, F.substr(question, at + 6))
+    return F.when(at > 0, filled).otherwise(F.concat(question, inline))
+
+
+#: Kinds of sections by the words of their headings, subjects, and what is kept (fixed values).
+SECTIONS = {
+    "是非題": "truefalse", "單選題": "single", "單擇題": "single", "複選題": "multi", "多選題": "multi", "選擇題(單選)": "single", "選擇題": "single", "填充題": "fill",
+    "英翻中": "en2zh", "中譯英": "zh2en", "論文": "essay", "公文": "essay", "作文": "essay", "翻譯": "translation",
+}
+SECTION_HEADING = r"[一二三四五六七八九十]+\s*[、．.]\s*(是非題|單選題|單擇題|複選題|多選題|選擇題\(單選\)|選擇題|填充題|英翻中|中譯英|論文|公文|作文|翻譯)"
+SUBJECT_HEADING = r"(汽車英文專業術語|汽車構造原理概論|汽車構造原理|汽車駕駛理論|道路交通法規|國\s*文)"
+KEPT_SECTIONS = ("truefalse", "single", "multi")
+SKIPPED_SUBJECTS = ("汽車英文專業術語", "國文")
+
+
+def section_kind(line: Column) -> Column:
+    """Kind of the section that a heading line opens; null for other lines."""
+    word = F.regexp_extract(line, SECTION_HEADING, 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair]), word)
+
+
+def subject_named(line: Column) -> Column:
+    """Subject that a heading names, without white space; null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(line, SUBJECT_HEADING, 1), r"\s+", ""), F.lit(""))
+
+
+def kept_section(kind: Column, subject: Column) -> Column:
+    """Whether a section's questions are imported: of a kind that is kept, of a subject that isn't skipped."""
+    return F.coalesce(kind.isin(*KEPT_SECTIONS), F.lit(False)) & ~F.coalesce(subject.isin(*SKIPPED_SUBJECTS), F.lit(False))
+
+
+def exam_info(name: Column) -> Column:
+    """Struct of year and session from an exam's file name: `115-1…`, `110年…` or `110全科…`; empty ones if it says none."""
+    session = F.regexp_extract(name, r"^\d{3}-(\d+)", 1)
+    return F.struct(F.regexp_extract(name, r"^(\d{3})(?:-\d+|年|全科)", 1).alias("year"), session.alias("session"))
+
+
+#: A value with its unit, and the greatest surplus of a last option by the mean length of the others (fixed values).
+_NUMBER = r"\d+(?:\.\d+)?\s*[~-]?\s*(?:\d+(?:\.\d+)?)?\s*%?"
+_VALUE = rf"^\s*{_NUMBER}\s*[\u4e00-\u9fff]{{0,3}}\s*$"
+_SURPLUS = ((2, 2), (5, 3), (None, 5))
+BLANK = "______"
+
+
+def _bare(o: Column) -> Column:
+    return F.regexp_replace(o, "[^\u4e00-\u9fff\u3400-\u4dbfA-Za-z0-9]", "")
+
+
+def _ends(text: Column) -> Column:
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+def trailing_stem(stem: Column, options: Column) -> Column:
+    """Struct of stem and options with what the last of four options holds of the stem moved back to it.
+
+    Every place at which the last option may be cut is a candidate: behind the ending that the other three share (if it
+    isn't a number), and at white space. Both parts must hold something. A candidate costs how far the option it leaves
+    is from the others' mean length; endings go before white space, then the cheapest and the first wins. Candidates
+    count only where the last option is longer than the mean by more than a surplus and the stem isn't a question
+    already. Then, if the others are values, the last one is cut behind its value and their common unit.
+    """
+    last = F.element_at(options, 4)
+    others = F.slice(options, 1, 3)
+    mean = F.aggregate(others, F.lit(0.0), lambda a, o: a + F.length(o)) / 3
+    surplus = F.lit(_SURPLUS[-1][1])
+    for most, by in reversed(_SURPLUS[:-1]):
+        surplus = F.when(mean <= most, by).otherwise(surplus)
+    bare = F.transform(others, _bare)
+    first = F.element_at(bare, 1)
+    tail = lambda o, k: F.substr(o, F.length(o) - k + 1, k)
+    shared = F.filter(F.sequence(F.lit(0), F.array_min(F.transform(bare, lambda o: F.length(o)))), lambda k: F.forall(bare, lambda o: tail(o, k) == tail(first, k)))
+    ending = tail(first, F.array_max(shared))
+    ending = F.when(ending.rlike(r"^\d*$"), "").otherwise(ending)
+
+    def candidate(i: Column) -> Column:
+        """A cut behind character i: kind (0 ending, 1 white space), cost, place, the two parts; null if it isn't one."""
+        left, right = _ends(F.substr(last, F.lit(1), i)), _ends(F.substr(last, i + 1, F.length(last)))
+        by_ending = (ending != "") & (F.substr(last, F.greatest(i - F.length(ending) + 1, F.lit(1)), F.length(ending)) == ending) & (i >= F.length(ending))
+        by_space = F.substr(last, i + 1, F.lit(1)).rlike(r"(?U)\s") & ~F.substr(last, i, F.lit(1)).rlike(r"(?U)\s")
+        kind = F.when(by_ending, 0).when(by_space, 1)
+        made = F.struct(kind.alias("kind"), F.abs(F.length(left) - mean).alias("cost"), i.alias("at"), left.alias("left"), right.alias("right"))
+        return F.when(kind.isNotNull() & (left != "") & (right != ""), made)
+
+    inside = F.when(F.length(last) > 1, F.sequence(F.lit(1), F.length(last) - 1)).otherwise(F.array().cast("array<int>"))
+    best = F.array_min(F.array_compact(F.transform(inside, candidate)))
+    start = F.coalesce(_ends(stem), F.lit(""))
+    long = (F.size(options) == 4) & (F.length(last) > mean + surplus) & ~start.rlike("[？?]$") & best.isNotNull()
+    one_stem = F.when(long, F.when(start == "", best["right"]).otherwise(F.concat_ws(f" {BLANK} ", start, best["right"]))).otherwise(stem)
+    one_last = F.when(long, best["left"]).otherwise(last)
+
+    values = (F.size(options) == 4) & F.forall(others, lambda o: o.rlike(_VALUE))
+    unit_of = lambda k: _ends(F.regexp_extract(F.element_at(options, k), r"([\u4e00-\u9fff\s]+)$", 1))
+    unit = F.when(unit_of(2) == unit_of(3), unit_of(2)).otherwise("")
+    number = F.regexp_extract(one_last, rf"^\s*{_NUMBER}", 0)
+    after = F.regexp_replace(F.substr(one_last, F.length(number) + 1, F.length(one_last)), r"(?U)^\s+", "")
+    rest = _ends(F.substr(after, F.length(unit) + 1, F.length(after)))
+    limited = one_last.endswith("為限")
+    bounded = limited & _ends(F.regexp_replace(one_last, "為限$", "")).rlike(_VALUE)
+    tailed = ~limited & (number != "") & F.startswith(after, unit) & rest.rlike(r"^[\p{L}\p{N}_\s]+$") & rest.rlike(r"[\u4e00-\u9fffA-Za-z]") & ((F.length(rest) >= 2) | (unit == ""))
+    words = F.when(bounded, "為限").otherwise(rest)
+    value = F.when(bounded, _ends(F.regexp_replace(one_last, "為限$", ""))).otherwise(_ends(F.concat(F.substr(one_last, F.lit(1), F.length(one_last) - F.length(after)), unit)))
+    moved = values & (bounded | tailed)
+    two_stem = F.when(moved, F.when(F.contains(one_stem, F.lit(BLANK)), F.trim(F.concat_ws(" ", one_stem, words))).otherwise(F.trim(F.concat_ws(" ", one_stem, F.lit(BLANK), words)))).otherwise(one_stem)
+    two_last = F.when(moved, value).otherwise(one_last)
+    new = F.when(F.size(options) == 4, F.concat(others, F.array(two_last))).otherwise(options)
+    return F.struct(two_stem.alias("stem"), new.alias("options"))
 
 
 def content_key(*parts: Column) -> Column:

@@ -25,76 +25,155 @@ def repeated_stems(rows: DataFrame, key: str, text: str, group: str, least: int
     return s.join(named, "stem").select(key, "names")
 
 
-def consolidated(versions: DataFrame, keys: list[str], at: str, no: str, text: str, reason: str, boilerplate: tuple[str, ...]) -> DataFrame:
-    """By keys: latest and earliest time, latest text, number of versions, reasons in time order without boilerplate
-    (the latest reason if nothing else is left)."""
-    order = F.struct(at, no)
-    kept = F.array_sort(F.collect_list(F.when(~F.col(reason).isin(*boilerplate), F.struct(at, no, reason))))
+#: Reasons that say nothing (fixed values).
+BOILERPLATE = ("修正通過。", "照協商條文通過。", "照協商條文通過。,")
+
+
+def consolidated(versions: DataFrame, keys: list[str], at: str, text: str, reason: str, boilerplate: tuple[str, ...] = BOILERPLATE, order: str | None = None) -> DataFrame:
+    """By keys: latest and earliest date, latest text, n_versions, dates in order, and the reasons: those that say
+    something, each as `[date修正] reason`, else the latest one, a line each. Blank reasons count as none. Dates are
+    compared as text, ties by `order`."""
+    tie = order or at
+    said = F.trim(F.coalesce(reason, F.lit("")))
     v = versions.groupBy(*keys).agg(
-        F.max(at).alias("latest"), F.min(at).alias("earliest"), F.max_by(text, order).alias("latest_text"), F.count("*").alias("n_versions"),
-        kept.alias("_kept"), F.max_by(reason, order).alias("_last"),
+        F.max(at).alias("latest"), F.min(at).alias("earliest"), F.max_by(text, F.struct(at, tie)).alias("latest_text"), F.count("*").alias("n_versions"),
+        F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("no"), said.alias("said")))).alias("_v"), F.max_by(reason, F.struct(at, tie)).alias("_last"),
     )
-    reasons = F.array_join(F.transform("_kept", lambda x: x[reason]), "\n")
-    return v.withColumn("reasons", F.when(F.size("_kept") > 0, reasons).otherwise(F.col("_last"))).drop("_kept", "_last")
+    kept = F.filter("_v", lambda x: (x["said"] != "") & ~x["said"].isin(*boilerplate))
+    lines = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("["), x["at"].cast("string"), F.lit("修正] "), x["said"])), "\n")
+    dates = F.transform("_v", lambda x: x["at"])
+    reasons = F.when(F.size(kept) > 0, lines).when(F.trim("_last") != "", F.trim("_last")).otherwise(F.col("_last"))
+    return v.withColumn("dates", dates).withColumn("reasons", reasons).drop("_v", "_last")
 
 
-def newer_top_k(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+def newer_top_k(queries: DataFrame, items: DataFrame, k: int = 20, block: int = 4096, parts: int | None = None) -> DataFrame:
     """(query_id, item_id, place, similarity): of the items newer than a query (year strictly larger) the k most
     similar by dot product, ties by id.
 
-    queries: query_id, year, vector, the stated query set; items: item_id, year, vector (unit length), any number. The
-    queries go to all tasks in blocks of `block`; each task runs once over its items and keeps every query's best k, so
-    at most k rows a query leave a task, and a window over those gives the answer. Null vectors take no part.
+    queries: query_id, year, vector, the stated query set; items: item_id, year, vector (unit length), any number. Queries
+    are put into blocks of about `block` by hash and items into `parts`; every block meets every part in a task of its
+    own, which holds one block and keeps each query's best k, and a window over those gives the answer. Nothing goes
+    through the driver. Null vectors take no part.
     """
     spark = queries.sparkSession
-    i = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("year").cast("int").alias("year"), F.col("vector").cast("array<float>").alias("vector")).where(F.col("vector").isNotNull() & F.col("year").isNotNull())
-    schema = "query_id bigint, item_id bigint, similarity double"
-    parts, waiting = [], []
-
-    def flush():
-        if not waiting:
-            return
-        ids, years, vectors = zip(*waiting)
-        shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(years, np.int32), np.array(vectors, np.float64)))
-        waiting.clear()
-
-        def best(batches, shared=shared):
-            query, year, matrix = shared.value
-            score, item = np.full((len(query), 0), -np.inf), np.zeros((len(query), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                flat = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                s = (matrix @ flat.T).round(9)
-                s[year[:, None] >= b.column(1).to_numpy()[None, :]] = -np.inf
-                score = np.concatenate([score, s], axis=1)
-                item = np.concatenate([item, np.broadcast_to(b.column(0).to_numpy(), s.shape)], axis=1)
-                order = np.lexsort((item, -score), axis=1)[:, :k]
-                score, item = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
+    vector = F.col("vector").cast("array<float>").alias("vector")
+    q = queries.where(F.col("vector").isNotNull() & F.col("year").isNotNull()).select(F.col("query_id").cast("bigint").alias("id"), F.col("year").cast("int").alias("year"), vector)
+    i = items.where(F.col("vector").isNotNull() & F.col("year").isNotNull()).select(F.col("item_id").cast("bigint").alias("id"), F.col("year").cast("int").alias("year"), vector)
+    blocks = max(1, -(-q.count() // block))
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = q.select(mine(blocks).alias("b"), every(parts).alias("p"), F.lit(0).alias("kind"), "*").unionByName(i.select(every(blocks).alias("b"), mine(parts).alias("p"), F.lit(1).alias("kind"), "*"))
+
+    def best(batches):
+        at, query, year, matrix, score, item = None, [], [], [], None, None
+
+        def done():
+            if score is None:
+                return
             row, col = np.nonzero(score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(item[row, col]), pa.array(score[row, col])], names=["query_id", "item_id", "similarity"])
-
-        parts.append(i.mapInArrow(best, schema))
-
-    for r in queries.select(F.col("query_id").cast("bigint"), F.col("year").cast("int"), F.col("vector").cast("array<float>")).where(F.col("vector").isNotNull() & F.col("year").isNotNull()).toLocalIterator():
-        waiting.append(tuple(r))
-        if len(waiting) >= block:
-            flush()
-    flush()
-    if not parts:
-        return spark.createDataFrame([], "query_id bigint, item_id bigint, place int, similarity double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(query, np.int64)[row]), pa.array(item[row, col]), pa.array(score[row, col])], names=["query_id", "item_id", "similarity"])
+
+        for batch in batches:
+            b, p, kind, ids, years = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            new = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (p[1:] != p[:-1]) | (kind[1:] != kind[:-1]))) if len(b) else np.zeros(0, int)
+            for first, last in zip(new, np.append(new[1:], len(b))):
+                if (b[first], p[first]) != at:
+                    yield from done()
+                    at, query, year, matrix, score, item = (b[first], p[first]), [], [], [], None, None
+                flat = batch.column(5).slice(first, last - first)
+                flat = flat.flatten().to_numpy(zero_copy_only=False).reshape(last - first, -1).astype(np.float64)
+                if kind[first] == 0:  # sorted before the items
+                    query, year, matrix = [*query, *ids[first:last]], [*year, *years[first:last]], [*matrix, flat]
+                    continue
+                if not query:
+                    continue
+                if score is None:
+                    whole, asked = np.concatenate(matrix), np.array(year)
+                    score, item = np.full((len(query), 0), -np.inf), np.zeros((len(query), 0), np.int64)
+                for c in range(0, len(flat), 1024):
+                    s = (whole @ flat[c : c + 1024].T).round(9)
+                    s[asked[:, None] >= years[first:last][None, c : c + 1024]] = -np.inf
+                    score = np.concatenate([score, s], axis=1)
+                    item = np.concatenate([item, np.broadcast_to(ids[first:last][c : c + 1024], s.shape)], axis=1)
+                    order = np.lexsort((item, -score), axis=1)[:, :k]
+                    score, item = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
+        yield from done()
+
+    met = rows.repartition("b", "p").sortWithinPartitions("b", "p", "kind")
+    found = met.mapInArrow(best, "query_id bigint, item_id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "item_id", "place", "similarity")
 
 
-def rule_signals(rows: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataFrame:
-    """(key, signals): names of the words of a fixed small dictionary that a text holds, sorted; rows without any are
-    left out."""
-    hits = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(word)), F.lit(name)) for name, word in sorted(rules.items())]))
-    return rows.select(key, hits.alias("signals")).where(F.size("signals") > 0)
+#: Old terms and what amendments call them; amounts that changed, with their article and a word of the law's name; the
+#: form in which a question names an article of the two laws (fixed values).
+RENAMED = {"電動自行車": "微型電動二輪車", "地方法院行政訴訟庭": "高等行政法院地方行政訴訟庭", "地方法院簡易庭": "高等行政法院地方行政訴訟庭"}
+AMOUNTS = (
+    ("3,600元", "45", "處罰"), ("1,000元", "31-1", "處罰"), ("1,200元", "56-1", "處罰"), ("3,600元", "56-1", "處罰"), ("180公分", "41", "安全"),
+    ("50公斤", "39-2", "安全"), ("60公里", "43", "處罰"),
+)
+MENTION = r"(?:道路交通管理處罰條例|處罰條例|道路交通安全規則|安全規則)?\s*第\s*(\d+(?:[\-之]\d+)?)\s*條"
+
+
+def rule_signals(questions: DataFrame, amendments: DataFrame) -> DataFrame:
+    """(query_id, item_id, signals): amendments newer than a question that one of its words points to.
+
+    questions: query_id, year, text; amendments: item_id, year, law, article_no, text. Signals are article_mention (the
+    question names the amendment's article), deprecated_term=… (the question has an old term, the amendment its new one)
+    and penalty=…→art… (an amount of the question changed with that article of a law of that name), in this order.
+    What a question points to is written out as keys (article; old term; amount with article) and met by equality, so
+    questions and amendments are never multiplied.
+    """
+    text = F.col("text")
+    named = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MENTION), 1), lambda a: F.replace(a, F.lit("之"), F.lit("-"))))
+    keys = [F.transform(named, lambda a: F.struct(F.lit(0).alias("rank"), a.alias("key"), F.lit("article_mention").alias("signal")))]
+    old = [F.when(F.contains(text, F.lit(o)), F.struct(F.lit(1 + i).alias("rank"), F.lit(f"term {o}").alias("key"), F.lit(f"deprecated_term={o}").alias("signal"))) for i, o in enumerate(RENAMED)]
+    due = [F.when(F.contains(text, F.lit(a)), F.struct(F.lit(10 + i).alias("rank"), F.lit(f"amount {i}").alias("key"), F.lit(f"penalty={a}→art{art}").alias("signal"))) for i, (a, art, _) in enumerate(AMOUNTS)]
+    asked = questions.select("query_id", F.col("year").alias("_asked"), F.explode(F.concat(*keys, F.array_compact(F.array(*old, *due)))).alias("k")).select("query_id", "_asked", "k.*")
+    has = [F.when(F.contains(text, F.lit(new)), F.lit(f"term {o}")) for o, new in RENAMED.items()]
+    law = [F.when((F.col("article_no") == art) & F.contains("law", F.lit(word)), F.lit(f"amount {i}")) for i, (_, art, word) in enumerate(AMOUNTS)]
+    offered = amendments.select("item_id", "year", F.explode(F.array_compact(F.array(F.col("article_no"), *has, *law))).alias("key"))
+    met = asked.join(offered, "key").where(F.col("year") > F.col("_asked"))
+    by = met.groupBy("query_id", "item_id").agg(F.array_sort(F.collect_set(F.struct("rank", "signal"))).alias("s"))
+    return by.select("query_id", "item_id", F.transform("s", lambda x: x["signal"]).alias("signals"))
+
+
+def candidates(similar: DataFrame, signalled: DataFrame) -> DataFrame:
+    """(query_id, item_id, similarity, signals): the union of the most similar pairs and of those with a strong signal;
+    similar pairs also get the signal embed=…, with three digits."""
+    both = similar.select("query_id", "item_id", "similarity").join(signalled, ["query_id", "item_id"], "full")
+    signals = F.coalesce("signals", F.array().cast("array<string>"))
+    shown = F.concat(F.lit("embed="), F.format_string("%.3f", "similarity"))
+    return both.select("query_id", "item_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.when(F.col("similarity").isNotNull(), F.array_append(signals, shown)).otherwise(signals).alias("signals"))
+
+
+def matches(rows: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query_id, matches): of pairs (query_id, item_id, score, strong, signals) those whose score reaches `least` or that
+    have a strong signal, as structs, the highest score first, ties by item_id."""
+    kept = rows.where((F.col("score") >= least) | F.col("strong"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "item_id", "score", "signals")))
+    return kept.groupBy("query_id").agg(order.alias("m")).select("query_id", F.transform("m", lambda x: F.struct(x["item_id"].alias("item_id"), x["score"].alias("score"), x["signals"].alias("signals"))).alias("matches"))
+
+
+def place(key: str, seed: str) -> Column:
+    """In 0 to 2^32 - 1, from the first 32 bits of md5 of seed and key."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
+def sample(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
+    """About that share of the rows, those whose keys hash below a threshold: a filter, so it moves nothing at any size."""
+    return rows.where(place(key, seed) < int(2**32 * share))
+
+
+def exact_sample(rows: DataFrame, key: str, share: float, seed: str, most: int = 1_000_000) -> DataFrame:
+    """Exactly max(1, floor(share * n)) rows in hash order. They are brought into one order, so it is for results of up to
+    `most` rows; an error beyond, where sample() does."""
+    n = rows.count()
+    wanted = max(1, int(share * n)) if n else 0
+    if wanted > most:
+        raise ValueError(f"{wanted} rows; use sample()")
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key).limit(wanted)
 
 
 def routed(rows: DataFrame) -> DataFrame:

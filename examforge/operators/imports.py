@@ -1,4 +1,4 @@
-"""Joins and folds of the import: answer keys, materials, pages, merged lines, trailing stems."""
+"""Joins and folds of the import: answer keys, materials, pages, merged lines."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def keyed_answers(questions: DataFrame, key: DataFrame, keys: list[str], last_wins: bool = False) -> DataFrame:
@@ -79,52 +78,6 @@ def merged_lines(rows: DataFrame, key: str) -> DataFrame:
     return by.select(key, F.posexplode(merged(F.transform("l", lambda x: x["line"]))).alias("no", "line"))
 
 
-_VALUE = re.compile(r"\s*\d+(?:\.\d+)?(?:\s*[~-]\s*\d+(?:\.\d+)?)?\s*%?\s*[一-鿿]{0,3}\s*")
-
-
-def trailing_stem(stem: str, options: list[str]) -> tuple[str, list[str]]:
-    """Moves what the last option holds of the stem back to it.
-
-    A last option that is clearly longer than the others is cut behind the ending they share, where that leaves an
-    option nearest to their mean length, else at the blank that does; a value with a tail after values of one unit is
-    cut behind its unit. A stem that is already a question keeps its options.
-    """
-    if len(options) != 4 or stem.rstrip().endswith(("？", "?")):
-        return stem, options
-    *others, last = options
-    mean = sum(map(len, others)) / 3
-    if all(_VALUE.fullmatch(o) for o in others):
-        units = [re.sub(r"^[\d.~\s%-]+", "", o).strip() for o in others]
-        unit = units[1] if units[1] == units[2] else ""
-        m = re.match(rf"(\s*\d+(?:\.\d+)?(?:\s*[~-]\s*\d+(?:\.\d+)?)?\s*%?\s*{re.escape(unit)})\s*([一-鿿\w\s]{{2,}})$", last)
-        return (f"{stem} ______ {m[2].strip()}".strip(), [*others, m[1].strip()]) if m else (stem, options)
-    if len(last) <= mean + (2 if mean <= 2 else 3 if mean <= 5 else 5):
-        return stem, options
-    bare = [re.sub(r"[^一-鿿㐀-䶿A-Za-z0-9]", "", o) for o in others]
-    ending = ""
-    while all(len(b) > len(ending) for b in bare) and len({b[-len(ending) - 1] for b in bare}) == 1:
-        ending = bare[0][-len(ending) - 1] + ending
-    cuts = [(m.end(), m.end()) for m in re.finditer(re.escape(ending), last)] if ending and not ending.isdigit() else []
-    cuts = [c for c in cuts if last[: c[0]].strip() and last[c[1] :].strip()]
-    cuts = cuts or [(m.start(), m.end()) for m in re.finditer(r"\s+", last) if last[: m.start()].strip() and last[m.end() :].strip()]
-    if not cuts:
-        return stem, options
-    a, b = min(cuts, key=lambda c: abs(len(last[: c[0]].strip()) - mean))
-    tail = last[b:].strip()
-    return (f"{stem} ______ {tail}" if stem else tail), [*others, last[:a].strip()]
-
-
-def trailing_stems(stem: Column, options: Column) -> Column:
-    """trailing_stem by Arrow batches: a struct of stem and options; null options stay null."""
-
-    @F.pandas_udf(T.StructType([T.StructField("stem", T.StringType()), T.StructField("options", T.ArrayType(T.StringType()))]))
-    def run(stems: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        done = [trailing_stem(s or "", list(o)) if o is not None else (s, None) for s, o in zip(stems, lists)]
-        return pd.DataFrame({"stem": [d[0] for d in done], "options": [d[1] for d in done]})
-
-    return run(stem, options)
-
-
 def expanded(x0: Column, y0: Column, x1: Column, y1: Column, margin: float, width: Column, height: Column) -> Column:
     """A rectangle grown by a margin and kept within its page."""
     z = F.lit(0.0)

@@ -6,40 +6,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examforge.functions import grading
+from examforge.functions.text import SPACE
 
-#: A number with an optional unit: what a purely numeric option looks like.
-NUMERIC = r"^\s*[-−]?\d+(?:[.,]\d+)?\s*(?:%|％|℃|Ω|㎡|[A-Za-zμµ°/]{1,8}|[\p{IsHan}]{1,4})?\s*$"
-SUSPICIOUS = r"\x{FFFD}|[\x{E000}-\x{F8FF}]|\(cid:\d+\)"
-TAIL_MARKS = ("因為", "所以", "應", "則")
+#: Units of answers that are values, words that end a rule, and the least length of an option that leaks (fixed values).
+UNITS = "個月|年|公尺|公分|公里|公噸|分鐘|小時|秒|歲|點|次|毫克|元|日|張|人|倍|度|%"
+TAIL_MARKERS = ("以上者", "註銷", "吊扣", "吊銷", "扣繳", "至檢驗合格", "發還", "禁止其行駛", "沒入", "處汽車所有人")
+LONG = 14
+NUMERIC = rf"^\d[\d,.]*\s*(?:{UNITS})?$"
+NUMERIC_PREFIX = rf"^\d[\d,.]*\s*(?:{UNITS})"
+#: What shows that a record was extracted badly (fixed value).
+SUSPICIOUS = "\ufffd|[ÅÇÉÑ]|[\uf081-\uf084]|×10 元|/ha /ha|題目[一二三四五六]|請接續"
 
 
-def completeness(questions: DataFrame) -> DataFrame:
-    """By bank: rows, distinct ids, how many ids from 1 to the largest are missing, repeated ids, odd option counts,
-    empty questions, answers out of range, suspicious characters, and a status.
+_FLAGS = ("repeated", "bad_options", "empty", "odd_answers", "suspicious")
 
-    Two aggregations, first by (bank, id), so that distinct ids are counted without a set and a bank that holds a third
-    of all rows is combined map-side into one row a task.
+
+def issues(questions: DataFrame, by: str = "bank", expected: int | None = None, options: int = 4) -> DataFrame:
+    """(source, issue, id): the ids behind a completeness report, a row each, so that no list grows with a source.
+
+    missing and extra: of 1 to expected (or to the largest id); repeated; bad_options: another number of options; empty:
+    no question, or an option missing or empty; odd_answers: not one of the options' places, free scores aside;
+    suspicious: characters of a bad extraction. Rows are combined by (source, id) first, map-side.
     """
+    one = _by_id(questions, by, options)
+    flagged = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in _FLAGS]))
+    found = one.select(by, "id", F.explode(flagged).alias("issue"))
+    if expected is not None:
+        found = found.unionByName(one.where((F.col("id") < 1) | (F.col("id") > expected)).select(by, "id", F.lit("extra").alias("issue")))
+    else:
+        found = found.unionByName(one.where(F.col("id") < 1).select(by, "id", F.lit("extra").alias("issue")))
+    return found.unionByName(missing_ids(one, by, expected).select(by, "id", F.lit("missing").alias("issue"))).select(by, "issue", "id")
+
+
+def completeness(questions: DataFrame, by: str = "bank", expected: int | None = None, options: int = 4) -> DataFrame:
+    """By source: n, how many ids each issue has, and the status: `ok` without issues and with the expected number."""
+    one = _by_id(questions, by, options)
+    last = F.lit(expected) if expected is not None else F.greatest(F.max("id"), F.lit(0))
+    out = one.groupBy(by).agg(
+        F.sum("n").alias("n"), last.cast("bigint").alias("_last"), F.count_if((F.col("id") >= 1) & ((F.col("id") <= expected) if expected is not None else F.lit(True))).alias("_in"),
+        F.count("id").alias("_ids"), *[F.count_if(k).alias(k) for k in _FLAGS],
+    )
+    out = out.withColumn("missing", F.col("_last") - F.col("_in")).withColumn("extra", F.col("_ids") - F.col("_in"))
+    ok = F.col("n") == F.col("_last")
+    for k in ("missing", "extra", *_FLAGS):
+        ok = ok & (F.col(k) == 0)
+    return out.select(by, "n", "missing", "extra", *_FLAGS, F.when(ok, "ok").otherwise("review").alias("status"))
+
+
+def _by_id(questions: DataFrame, by: str, options: int) -> DataFrame:
     n = F.greatest(F.size("options"), F.lit(0))
-    odd = F.coalesce(F.exists(grading.answers(F.col("answer")), lambda a: (a < 0) | (a >= n)), F.lit(False))
+    answers = grading.answers(F.col("answer"))
+    right = F.coalesce((F.size(answers) > 0) & F.forall(answers, lambda a: (a >= 0) & (a < options)), F.lit(False))
     text = F.concat_ws(" ", "question", F.array_join("options", " "))
-    one = questions.groupBy("bank", "id").agg(
-        F.count("*").alias("n"), F.count_if(~n.between(2, 5)).alias("bad_options"), F.count_if(F.coalesce(F.trim("question"), F.lit("")) == "").alias("empty_question"),
-        F.count_if(odd).alias("odd_answers"), F.count_if(F.col("answer").isNull()).alias("no_answer"), F.count_if(text.rlike(SUSPICIOUS)).alias("suspicious"),
-    )
-    sums = ("n", "bad_options", "empty_question", "odd_answers", "no_answer", "suspicious")
-    by = one.groupBy("bank").agg(*[F.sum(c).alias(c) for c in sums], F.count("id").alias("n_ids"), F.count_if(F.col("id") >= 1).alias("_in"), F.greatest(F.max("id"), F.lit(0)).alias("last_id"))
-    by = by.withColumn("n_missing", F.col("last_id") - F.col("_in")).withColumn("repeated", F.col("n") - F.col("n_ids")).drop("_in")
-    ok = (F.col("n_missing") == 0) & (F.col("repeated") == 0) & (F.col("bad_options") == 0) & (F.col("empty_question") == 0) & (F.col("odd_answers") == 0)
-    return by.withColumn("status", F.when(ok, "ok").otherwise("review"))
+    empty = (F.coalesce("question", F.lit("")) == "") | (n != options) | F.coalesce(F.exists("options", lambda o: F.coalesce(o, F.lit("")) == ""), F.lit(True))
+    flags = {"bad_options": n != options, "empty": empty, "odd_answers": ~F.coalesce("freescore", F.lit(False)) & ~right, "suspicious": text.rlike(SUSPICIOUS)}
+    one = questions.groupBy(by, "id").agg(F.count("*").alias("n"), *[F.max(c).alias(k) for k, c in flags.items()])
+    return one.withColumn("repeated", F.col("n") > 1)
 
 
-def missing_ids(questions: DataFrame, step: int = 10_000) -> DataFrame:
-    """(bank, id): ids from 1 to a bank's largest that no row has. The ranges are expanded in steps, spread over tasks."""
-    last = questions.groupBy("bank").agg(F.max("id").alias("last")).where(F.col("last") >= 1)
-    ranges = last.withColumn("a", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(step)))).repartition("bank", "a")
-    ids = ranges.select("bank", F.explode(F.sequence("a", F.least(F.col("a") + step - 1, F.col("last")))).alias("id"))
-    return ids.join(questions.select("bank", "id"), ["bank", "id"], "left_anti")
+def missing_ids(questions: DataFrame, by: str = "bank", expected: int | None = None, step: int = 10_000) -> DataFrame:
+    """(source, id): ids from 1 to expected, or to a source's largest, that no row has. The ranges are expanded in steps,
+    spread over tasks."""
+    last = questions.groupBy(by).agg((F.lit(expected) if expected is not None else F.max("id")).alias("last")).where(F.col("last") >= 1)
+    ranges = last.withColumn("a", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(step)))).repartition(by, "a")
+    ids = ranges.select(by, F.explode(F.sequence("a", F.least(F.col("a") + step - 1, F.col("last")))).alias("id"))
+    return ids.join(questions.select(by, "id"), [by, "id"], "left_anti")
 
 
 def reconcile(candidate: DataFrame, reference: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -59,16 +90,16 @@ def report_status(issues: DataFrame, qa: DataFrame, by: str, harmless: tuple[str
     return out.withColumn("status", F.when((F.col("status") == "ok") & (F.col("n_issues") == 0), "ok").otherwise("review"))
 
 
-def leaks(options: Column) -> Column:
-    """Whether one long option gives the others away: three options or more, all but one purely numeric, the other of
-    14 characters or more, beginning with a number and holding a clause."""
-    numeric = F.filter(options, lambda o: o.rlike(NUMERIC))
-    rest = F.filter(options, lambda o: ~o.rlike(NUMERIC))
-    long = F.get(rest, F.lit(0))
-    clause = long.contains("，")
-    for mark in TAIL_MARKS:
-        clause = clause | long.contains(mark)
-    return F.coalesce((F.size(options) >= 3) & (F.size(numeric) == F.size(options) - 1) & (F.length(long) >= 14) & long.rlike(r"^\s*\d") & clause, F.lit(False))
+def leak(options: Column) -> Column:
+    """The first option that holds the end of the stem, null without one: of three options or more all but one at most are
+    values, and it is no value itself, is LONG or longer, begins with a value and its unit, and holds a comma or words
+    that end a rule. Options with a null give none."""
+    stripped = F.transform(options, lambda o: F.regexp_replace(o, f"^{SPACE}+|{SPACE}+$", ""))
+    is_value = lambda o: o.rlike(NUMERIC)
+    tail = lambda o: o.contains("，") | o.rlike("|".join(TAIL_MARKERS))
+    odd = F.filter(stripped, lambda o: ~is_value(o) & (F.length(o) >= LONG) & o.rlike(NUMERIC_PREFIX) & tail(o))
+    gap = (F.size(options) >= 3) & (F.size(F.filter(stripped, is_value)) >= F.size(options) - 1) & F.forall(options, lambda o: o.isNotNull())
+    return F.when(gap, F.get(odd, F.lit(0)))
 
 
 def changes(rows: DataFrame, key: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examforge.functions.text import noise_line
+from examforge.functions.text import SPACE, noise_line
 
 
 def lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,13 +94,21 @@ def rows_by_height(items: DataFrame, page: list[str], tolerance: float = 4.0) ->
     return items.groupBy(*page).applyInPandas(fold, schema)
 
 
+def sentences(text: Column) -> Column:
+    """Sentences of a text with their marks; runs of white space count as one blank."""
+    whole = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    found = F.transform(F.regexp_extract_all(whole, F.lit("[^。！？；;]+[。！？；;]?"), 0), lambda s: F.trim(s))
+    return F.filter(F.when(F.size(found) > 0, found).otherwise(F.array(whole)), lambda s: s != "")
+
+
 def buffered(pieces: Column, least: int = 95) -> Column:
-    """Sentences collected into paragraphs: a paragraph ends when it has `least` characters or ends with a semicolon."""
+    """Sentences collected into paragraphs: a paragraph ends with a sentence that has a semicolon, with one by which it
+    reaches `least` characters, and with its second sentence; what is left open at the end is one more."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, s: Column) -> Column:
         now = F.concat(acc["open"], s)
-        full = (F.length(now) >= least) | now.rlike("[;；]$")
+        full = (acc["open"] != "") | (F.length(now) >= least) | s.rlike("[；;]")
         return F.struct(F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(now).alias("open"))
 
     return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))

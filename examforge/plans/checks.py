@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from examforge.functions.text import SPACE
 from examforge.operators import audit, quality, ranges
 from examforge.plans.base import Plans, table
 
@@ -11,17 +12,32 @@ plans = Plans()
 _ANS = "CASE WHEN answer IS NULL THEN NULL ELSE CAST(string_split(regexp_replace(answer, '[\\[\\] ]', '', 'g'), ',') AS INTEGER[]) END"
 
 
+_BY_ID = f"""
+    SELECT bank, id, count(*) AS n, count(*) > 1 AS repeated, bool_or(coalesce(len(options), 0) <> 4) AS bad_options,
+           bool_or(coalesce(question, '') = '' OR coalesce(len(options), 0) <> 4 OR len(list_filter(options, lambda o: coalesce(o, '') = '')) > 0) AS empty,
+           bool_or(NOT coalesce(freescore, false) AND NOT coalesce(len(a) > 0 AND len(list_filter(a, lambda x: x < 0 OR x > 3)) = 0, false)) AS odd_answers,
+           bool_or(regexp_matches(concat_ws(' ', question, array_to_string(options, ' ')), '\ufffd|[ÅÇÉÑ]|[\uf081-\uf084]|×10 元|/ha /ha|題目[一二三四五六]|請接續')) AS suspicious
+    FROM (SELECT *, {_ANS} AS a FROM questions) GROUP BY bank, id"""
+
+
 @plans.add(f"""
-    SELECT *, CASE WHEN n_missing = 0 AND repeated = 0 AND bad_options = 0 AND empty_question = 0 AND odd_answers = 0 THEN 'ok' ELSE 'review' END AS status FROM (
-      SELECT bank, count(*) AS n, count(*) FILTER (WHERE k NOT BETWEEN 2 AND 5) AS bad_options, count(*) FILTER (WHERE coalesce(trim(question), '') = '') AS empty_question,
-             count(*) FILTER (WHERE len(list_filter(a, lambda x: x < 0 OR x >= k)) > 0) AS odd_answers, count(*) FILTER (WHERE answer IS NULL) AS no_answer,
-             count(*) FILTER (WHERE regexp_matches(concat_ws(' ', question, array_to_string(options, ' ')), '\\x{{FFFD}}|[\\x{{E000}}-\\x{{F8FF}}]|\\(cid:\\d+\\)')) AS suspicious,
-             count(DISTINCT id) AS n_ids, greatest(max(id), 0) AS last_id, CAST(greatest(max(id), 0) - count(DISTINCT id) FILTER (WHERE id >= 1) AS BIGINT) AS n_missing, count(*) - count(DISTINCT id) AS repeated
-      FROM (SELECT *, coalesce(len(options), 0) AS k, {_ANS} AS a FROM questions) GROUP BY bank)""")
+    SELECT *, CASE WHEN n = last AND missing + extra + repeated + bad_options + empty + odd_answers + suspicious = 0 THEN 'ok' ELSE 'review' END AS status FROM (
+      SELECT bank, CAST(sum(n) AS BIGINT) AS n, CAST(greatest(max(id), 0) AS BIGINT) AS last, greatest(max(id), 0) - count(*) FILTER (WHERE id >= 1) AS missing, count(*) FILTER (WHERE id < 1) AS extra,
+             count(*) FILTER (WHERE repeated) AS repeated, count(*) FILTER (WHERE bad_options) AS bad_options, count(*) FILTER (WHERE empty) AS empty,
+             count(*) FILTER (WHERE odd_answers) AS odd_answers, count(*) FILTER (WHERE suspicious) AS suspicious FROM ({_BY_ID}) GROUP BY bank)""".replace("SELECT *, CASE WHEN n = last", "SELECT bank, n, missing, extra, repeated, bad_options, empty, odd_answers, suspicious, CASE WHEN n = last"))
 def qa_completeness(spark, d):
     return quality.completeness(table(spark, d, "questions"))
 
 
+@plans.add(f"""
+    WITH one AS ({_BY_ID})
+    SELECT bank, issue, id FROM (SELECT bank, id, unnest(list_filter([CASE WHEN repeated THEN 'repeated' END, CASE WHEN bad_options THEN 'bad_options' END, CASE WHEN empty THEN 'empty' END,
+        CASE WHEN odd_answers THEN 'odd_answers' END, CASE WHEN suspicious THEN 'suspicious' END, CASE WHEN id < 1 OR id > 15 THEN 'extra' END], lambda x: x IS NOT NULL)) AS issue FROM one)
+    UNION ALL SELECT bank, 'missing', CAST(i AS INTEGER) FROM (SELECT DISTINCT bank FROM one) b, range(1, 16) r(i) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.bank = b.bank AND one.id = i)""")
+def qa_issues_of_15(spark, d):
+    return quality.issues(table(spark, d, "questions"), expected=15)
+
+
 @plans.add("""
     SELECT bank, CAST(id AS INTEGER) AS id FROM (SELECT bank, unnest(range(1, max(id) + 1)) AS id FROM questions GROUP BY bank)
     EXCEPT SELECT bank, id FROM questions""")
@@ -46,26 +62,29 @@ def reconcile_imports(spark, d):
 @plans.add("""
     SELECT coalesce(o.bank, q.bank) AS bank, coalesce(o.id, q.id) AS id, CASE WHEN o.bank IS NULL THEN 'missing' WHEN q.bank IS NULL THEN 'extra' ELSE 'answer' END AS issue
     FROM (SELECT DISTINCT bank, CAST(qid AS INTEGER) AS id, answer FROM overrides WHERE answer IS NOT NULL) o
-    FULL JOIN (SELECT bank, id, max(answer) AS answer FROM questions WHERE bank = 'questions/questions.json' GROUP BY bank, id) q ON o.bank = q.bank AND o.id = q.id
+    FULL JOIN (SELECT bank, id, max(answer) AS answer FROM questions GROUP BY bank, id) q ON o.bank = q.bank AND o.id = q.id
     WHERE o.answer IS DISTINCT FROM q.answer OR o.bank IS NULL OR q.bank IS NULL""")
 def reconcile_full_outer(spark, d):
     o = table(spark, d, "overrides").where(F.col("answer").isNotNull()).select("bank", F.col("qid").cast("int").alias("id"), "answer").distinct()
-    q = table(spark, d, "questions").where(F.col("bank") == "questions/questions.json").groupBy("bank", "id").agg(F.max("answer").alias("answer"))
+    q = table(spark, d, "questions").groupBy("bank", "id").agg(F.max("answer").alias("answer"))
     return quality.reconcile(o, q, ["bank", "id"], ["answer"])
 
 
-_NUM = "^\\s*[-−]?\\d+([.,]\\d+)?\\s*(%|％|℃|Ω|㎡|[A-Za-zμµ°/]{1,8}|[\\p{Han}]{1,4})?\\s*$"
+_UNITS = "(個月|年|公尺|公分|公里|公噸|分鐘|小時|秒|歲|點|次|毫克|元|日|張|人|倍|度|%)"
+_SP = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
 @plans.add(f"""
-    SELECT row_id, n_numeric, n_options, n_options >= 3 AND n_numeric = n_options - 1 AND coalesce(length(long) >= 14 AND regexp_matches(long, '^\\s*\\d') AND
-           (contains(long, '，') OR contains(long, '因為') OR contains(long, '所以') OR contains(long, '應') OR contains(long, '則')), false) AS leaks
-    FROM (SELECT row_id, CAST(len(options) AS INTEGER) AS n_options, CAST(len(list_filter(options, lambda o: regexp_matches(o, '{_NUM}'))) AS INTEGER) AS n_numeric,
-                 list_filter(options, lambda o: NOT regexp_matches(o, '{_NUM}'))[1] AS long FROM questions WHERE options IS NOT NULL)""")
+    SELECT row_id, n_values, n_options, odd[1] AS leak FROM (
+      SELECT row_id, CAST(len(o) AS INTEGER) AS n_options, CAST(len(list_filter(o, lambda x: regexp_matches(x, '^\\d[\\d,.]*\\s*{_UNITS}?$'))) AS INTEGER) AS n_values,
+             CASE WHEN len(o) >= 3 AND len(list_filter(o, lambda x: regexp_matches(x, '^\\d[\\d,.]*\\s*{_UNITS}?$'))) >= len(o) - 1 AND len(list_filter(options, lambda x: x IS NULL)) = 0 THEN
+               list_filter(o, lambda x: NOT regexp_matches(x, '^\\d[\\d,.]*\\s*{_UNITS}?$') AND length(x) >= 14 AND regexp_matches(x, '^\\d[\\d,.]*\\s*{_UNITS}')
+                 AND regexp_matches(x, '，|以上者|註銷|吊扣|吊銷|扣繳|至檢驗合格|發還|禁止其行駛|沒入|處汽車所有人')) END AS odd
+      FROM (SELECT row_id, options, list_transform(options, lambda x: regexp_replace(x, '^{_SP}+|{_SP}+$', '', 'g')) AS o FROM questions WHERE options IS NOT NULL))""")
 def leak_detector(spark, d):
     q = table(spark, d, "questions").where(F.col("options").isNotNull())
-    numeric = F.size(F.filter("options", lambda o: o.rlike(quality.NUMERIC)))
-    return q.select("row_id", numeric.alias("n_numeric"), F.size("options").alias("n_options"), quality.leaks(F.col("options")).alias("leaks"))
+    values = F.filter("options", lambda o: F.regexp_replace(o, f"^{SPACE}+|{SPACE}+$", "").rlike(quality.NUMERIC))
+    return q.select("row_id", F.size(values).alias("n_values"), F.size("options").alias("n_options"), quality.leak(F.col("options")).alias("leak"))
 
 
 @plans.add("""
@@ -88,13 +107,13 @@ def group_cardinality(spark, d):
 
 
 @plans.add("""
-    SELECT o_custkey, epoch_us(max(o_orderdate)) AS latest, epoch_us(min(o_orderdate)) AS earliest, arg_max(o_orderstatus, {'a': o_orderdate, 'b': o_orderkey}) AS latest_text, count(*) AS n_versions,
-           coalesce(string_agg(o_orderpriority, chr(10) ORDER BY o_orderdate, o_orderkey, o_orderpriority) FILTER (WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')), arg_max(o_orderpriority, {'a': o_orderdate, 'b': o_orderkey})) AS reasons
-    FROM orders GROUP BY o_custkey""")
+    SELECT o_custkey, max(d) AS latest, min(d) AS earliest, arg_max(o_orderstatus, {'a': d, 'b': o_orderkey}) AS latest_text, count(*) AS n_versions, string_agg(d, ',' ORDER BY d, o_orderkey) AS dates,
+           coalesce(string_agg('[' || d || '修正] ' || o_orderpriority, chr(10) ORDER BY d, o_orderkey, o_orderpriority) FILTER (WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')), arg_max(o_orderpriority, {'a': d, 'b': o_orderkey})) AS reasons
+    FROM (SELECT *, strftime(o_orderdate, '%Y/%m/%d') AS d FROM orders) GROUP BY o_custkey""")
 def version_consolidation(spark, d):
-    v = audit.consolidated(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", "o_orderstatus", "o_orderpriority", ("5-LOW", "4-NOT SPECIFIED"))
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return v.select("o_custkey", us("latest").alias("latest"), us("earliest").alias("earliest"), "latest_text", "n_versions", "reasons")
+    o = table(spark, d, "orders").withColumn("d", F.date_format("o_orderdate", "yyyy/MM/dd"))
+    v = audit.consolidated(o, ["o_custkey"], "d", "o_orderstatus", "o_orderpriority", ("5-LOW", "4-NOT SPECIFIED"), "o_orderkey")
+    return v.withColumn("dates", F.array_join("dates", ","))
 
 
 @plans.add("""
@@ -108,15 +127,18 @@ def newer_vector_topk(spark, d):
     return audit.newer_top_k(queries, items, 20).select("query_id", "item_id", "place")
 
 
-_RULES = {"amount": "收費", "deadline": "限期", "document": "填報", "penalty": "違反"}
+_MENTION = "第\\s*(\\d+([\\-之]\\d+)?)\\s*條"
 
 
-@plans.add("""
-    SELECT doc_id, array_to_string(s, ',') AS signals FROM (SELECT doc_id, list_filter([CASE WHEN contains(text, '收費') THEN 'amount' END, CASE WHEN contains(text, '限期') THEN 'deadline' END,
-      CASE WHEN contains(text, '填報') THEN 'document' END, CASE WHEN contains(text, '違反') THEN 'penalty' END], lambda x: x IS NOT NULL) AS s FROM documents) WHERE len(s) > 0""")
+@plans.add(f"""
+    WITH q AS (SELECT row_id AS query_id, CAST(row_id % 50 AS INTEGER) AS asked, unnest(list_distinct(list_transform(regexp_extract_all(concat_ws(' ', question, array_to_string(options, ' ')), '{_MENTION}', 1), lambda x: replace(x, '之', '-')))) AS key FROM questions),
+    a AS (SELECT doc_id AS item_id, CAST(doc_id % 100 AS INTEGER) AS year, CAST(doc_id % 97 AS VARCHAR) AS key FROM documents WHERE source IN ('law_articles', 'law_explanations'))
+    SELECT query_id, item_id, 'article_mention' AS signals FROM q JOIN a ON a.key = q.key AND a.year > q.asked""")
 def rule_signals(spark, d):
-    r = audit.rule_signals(table(spark, d, "documents"), "doc_id", "text", _RULES)
-    return r.select("doc_id", F.array_join("signals", ",").alias("signals"))
+    q = table(spark, d, "questions").select(F.col("row_id").alias("query_id"), (F.col("row_id") % 50).cast("int").alias("year"), F.concat_ws(" ", "question", F.array_join("options", " ")).alias("text"))
+    a = table(spark, d, "documents").where(F.col("source").isin("law_articles", "law_explanations"))
+    a = a.select(F.col("doc_id").alias("item_id"), (F.col("doc_id") % 100).cast("int").alias("year"), F.lit("處罰").alias("law"), (F.col("doc_id") % 97).cast("string").alias("article_no"), F.lit("").alias("text"))
+    return audit.rule_signals(q, a).select("query_id", "item_id", F.array_join("signals", ",").alias("signals"))
 
 
 @plans.add("""
@@ -161,10 +183,16 @@ def spatial_intersects(spark, d):
     return ranges.intersecting(rect("part", "p_partkey", p % 500, F.col("p_size") * 3), rect("supplier", "s_suppkey", s * 5 % 500, s % 150), 8.0)
 
 
-@plans.add("""
-    WITH u AS (SELECT doc_id, md5('42|' || doc_id) AS k FROM documents WHERE n_chars < 200)
-    SELECT doc_id FROM u ORDER BY k, doc_id LIMIT (SELECT greatest(1, CAST(floor(0.15 * count(*)) AS BIGINT)) FROM u)""")
+_PLACE = "('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT"
+
+
+@plans.add(f"SELECT doc_id FROM documents WHERE {_PLACE} < CAST(floor(4294967296.0 * 0.15) AS BIGINT)")
 def qa_sample(spark, d):
-    pool = table(spark, d, "documents").where("n_chars < 200").select("doc_id", F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))).alias("k"))
-    n = pool.count()
-    return pool.orderBy("k", "doc_id").limit(max(1, int(0.15 * n))).select("doc_id")
+    return audit.sample(table(spark, d, "documents").select("doc_id"), "doc_id", 0.15, "42")
+
+
+@plans.add(f"""
+    WITH u AS (SELECT file AS doc_id, md5('42|' || file) AS k FROM banks)
+    SELECT doc_id AS file FROM u ORDER BY k, doc_id LIMIT (SELECT greatest(1, CAST(floor(0.15 * count(*)) AS BIGINT)) FROM u)""")
+def qa_sample_exact(spark, d):
+    return audit.exact_sample(table(spark, d, "banks").select("file"), "file", 0.15, "42")

@@ -172,22 +172,25 @@ def tagged_questions(spark, d):
     return q.where(F.col("tag") != "exclude").select("row_id", "tag")
 
 
-_XREF = "以上皆|以下皆|上述|前述|[甲乙丙丁]{2,}|僅[甲乙丙丁]|[（(]?[A-D][)）]?\\s*[和與及、]\\s*[（(]?[A-D]|選項\\s*[A-D1-4]"
+_XREF = "選項\\([A-D]\\)|選項[一二三四1234]|以上皆|皆是|皆非|皆正確|皆錯誤"
+_LONE = "(^|[（(,，、\\s])[A-D]([）),，、\\s]|$)"
 
 
 @plans.add(f"""
-    SELECT row_id, coalesce(array_to_string(list_transform(options, lambda o: upper(regexp_replace(o, '\\s+', '', 'g'))), '') IN ('ABCD', '1234')
-           OR len(list_filter(options, lambda o: regexp_matches(upper(o), '{_XREF}'))) > 0, false) AS locked FROM questions""")
+    SELECT row_id, coalesce(len(list_filter(options, lambda o: regexp_matches(o, '{_XREF}'))) > 0, false) AS named,
+           coalesce(len(list_filter(options, lambda o: regexp_matches(o, '{_XREF}') OR regexp_matches(upper(o), '{_LONE}'))) > 0
+             OR list_transform(options, lambda o: upper(regexp_replace(o, '\\s+', '', 'g'))) IN (['A', 'B', 'C', 'D'], ['1', '2', '3', '4']), false) AS locked FROM questions""")
 def locked_options(spark, d):
-    return table(spark, d, "questions").select("row_id", parsing.locked(F.col("options")).alias("locked"))
+    o = F.col("options")
+    return table(spark, d, "questions").select("row_id", parsing.locked(o, letters=False).alias("named"), parsing.locked(o).alias("locked"))
 
 
 @plans.add("""
-    SELECT row_id, coalesce(regexp_matches(question, '如(下|上|左|右|附)?\\s*圖|圖\\s*\\d+|下圖|附圖|如圖所示|見圖'), false) AS image,
-           coalesce(regexp_matches(question, '如(下|上|附)?\\s*表|下表|附表|表\\s*\\d+'), false) AS sheet FROM questions""")
+    SELECT row_id, coalesce(regexp_matches(question, '如\\s*[圖表]|[圖表]\\s*[（(]\\s*[一二三四五六七八九十\\d]+\\s*[)）]|曲線圖|附圖|下[圖表]|上[圖表]'), false) AS image,
+           coalesce(regexp_matches(question, '【表|下表|如下表|統計表|表格|資料如下|情形如下'), false) AND coalesce(len(materials), 0) = 0 AS sheet FROM questions""")
 def media_hints(spark, d):
     q = F.col("question")
-    return table(spark, d, "questions").select("row_id", parsing.needs_image(q).alias("image"), parsing.needs_table(q).alias("sheet"))
+    return table(spark, d, "questions").select("row_id", parsing.needs_image(q).alias("image"), parsing.needs_table(q, F.col("materials")).alias("sheet"))
 
 
 @plans.add("""
