@@ -268,51 +268,85 @@ def trailing_stem(stem: Column, options: Column) -> Column:
     count only where the last option is longer than the mean by more than a surplus and the stem isn't a question
     already. Then, if the others are values, the last one is cut behind its value and their common unit.
     """
-    last = F.element_at(options, 4)
-    others = F.slice(options, 1, 3)
-    mean = F.aggregate(others, F.lit(0.0), lambda a, o: a + F.length(o)) / 3
+    q = F.struct(stem.alias("stem"), options.alias("options"), F.slice(options, 1, 3).alias("others"), F.element_at(options, 4).alias("last"))
+    done = _let(_let(_let(q, _with_ending), _cut_by_length), _cut_by_value)
+    return F.when(F.size(options) == 4, done).otherwise(F.struct(stem.alias("stem"), options.alias("options")))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _with_ending(q: Column) -> Column:
+    """Adds the mean length of the first three options, the ending they share, and their bare forms' first."""
+    bare = F.transform(q["others"], _bare)
+
+    def ending(b: Column) -> Column:
+        tail = lambda o, k: F.substr(o, F.length(o) - k + 1, k)
+        first = F.element_at(b, 1)
+        shared = F.filter(F.sequence(F.lit(0), F.array_min(F.transform(b, lambda o: F.length(o)))), lambda k: F.forall(b, lambda o: tail(o, k) == tail(first, k)))
+        return _let(tail(first, F.array_max(shared)), lambda e: F.when(e.rlike(r"^\d*$"), "").otherwise(e))
+
+    mean = F.aggregate(q["others"], F.lit(0.0), lambda a, o: a + F.length(o)) / 3
+    return F.struct(q["stem"].alias("stem"), q["options"].alias("options"), q["others"].alias("others"), q["last"].alias("last"), mean.alias("mean"), _let(bare, ending).alias("ending"))
+
+
+def _cut_by_length(q: Column) -> Column:
+    last, mean, ending = q["last"], q["mean"], q["ending"]
     surplus = F.lit(_SURPLUS[-1][1])
     for most, by in reversed(_SURPLUS[:-1]):
         surplus = F.when(mean <= most, by).otherwise(surplus)
-    bare = F.transform(others, _bare)
-    first = F.element_at(bare, 1)
-    tail = lambda o, k: F.substr(o, F.length(o) - k + 1, k)
-    shared = F.filter(F.sequence(F.lit(0), F.array_min(F.transform(bare, lambda o: F.length(o)))), lambda k: F.forall(bare, lambda o: tail(o, k) == tail(first, k)))
-    ending = tail(first, F.array_max(shared))
-    ending = F.when(ending.rlike(r"^\d*$"), "").otherwise(ending)
 
     def candidate(i: Column) -> Column:
         """A cut behind character i: kind (0 ending, 1 white space), cost, place, the two parts; null if it isn't one."""
-        left, right = _ends(F.substr(last, F.lit(1), i)), _ends(F.substr(last, i + 1, F.length(last)))
-        by_ending = (ending != "") & (F.substr(last, F.greatest(i - F.length(ending) + 1, F.lit(1)), F.length(ending)) == ending) & (i >= F.length(ending))
+        by_ending = (ending != "") & (i >= F.length(ending)) & (F.substr(last, i - F.length(ending) + 1, F.length(ending)) == ending)
         by_space = F.substr(last, i + 1, F.lit(1)).rlike(r"(?U)\s") & ~F.substr(last, i, F.lit(1)).rlike(r"(?U)\s")
-        kind = F.when(by_ending, 0).when(by_space, 1)
-        made = F.struct(kind.alias("kind"), F.abs(F.length(left) - mean).alias("cost"), i.alias("at"), left.alias("left"), right.alias("right"))
-        return F.when(kind.isNotNull() & (left != "") & (right != ""), made)
+        parts = F.struct(F.when(by_ending, 0).when(by_space, 1).alias("kind"), _ends(F.substr(last, F.lit(1), i)).alias("left"), _ends(F.substr(last, i + 1, F.length(last))).alias("right"))
+        cost = lambda x: F.struct(x["kind"].alias("kind"), F.abs(F.length(x["left"]) - mean).alias("cost"), i.alias("at"), x["left"].alias("left"), x["right"].alias("right"))
+        return _let(parts, lambda x: F.when(x["kind"].isNotNull() & (x["left"] != "") & (x["right"] != ""), cost(x)))
 
     inside = F.when(F.length(last) > 1, F.sequence(F.lit(1), F.length(last) - 1)).otherwise(F.array().cast("array<int>"))
-    best = F.array_min(F.array_compact(F.transform(inside, candidate)))
-    start = F.coalesce(_ends(stem), F.lit(""))
-    long = (F.size(options) == 4) & (F.length(last) > mean + surplus) & ~start.rlike("[？?]$") & best.isNotNull()
-    one_stem = F.when(long, F.when(start == "", best["right"]).otherwise(F.concat_ws(f" {BLANK} ", start, best["right"]))).otherwise(stem)
-    one_last = F.when(long, best["left"]).otherwise(last)
-
-    values = (F.size(options) == 4) & F.forall(others, lambda o: o.rlike(_VALUE))
-    unit_of = lambda k: _ends(F.regexp_extract(F.element_at(options, k), r"([\u4e00-\u9fff\s]+)$", 1))
-    unit = F.when(unit_of(2) == unit_of(3), unit_of(2)).otherwise("")
-    number = F.regexp_extract(one_last, rf"^\s*{_NUMBER}", 0)
-    after = F.regexp_replace(F.substr(one_last, F.length(number) + 1, F.length(one_last)), r"(?U)^\s+", "")
-    rest = _ends(F.substr(after, F.length(unit) + 1, F.length(after)))
-    limited = one_last.endswith("為限")
-    bounded = limited & _ends(F.regexp_replace(one_last, "為限$", "")).rlike(_VALUE)
-    tailed = ~limited & (number != "") & F.startswith(after, unit) & rest.rlike(r"^[\p{L}\p{N}_\s]+$") & rest.rlike(r"[\u4e00-\u9fffA-Za-z]") & ((F.length(rest) >= 2) | (unit == ""))
-    words = F.when(bounded, "為限").otherwise(rest)
-    value = F.when(bounded, _ends(F.regexp_replace(one_last, "為限$", ""))).otherwise(_ends(F.concat(F.substr(one_last, F.lit(1), F.length(one_last) - F.length(after)), unit)))
-    moved = values & (bounded | tailed)
-    two_stem = F.when(moved, F.when(F.contains(one_stem, F.lit(BLANK)), F.trim(F.concat_ws(" ", one_stem, words))).otherwise(F.trim(F.concat_ws(" ", one_stem, F.lit(BLANK), words)))).otherwise(one_stem)
-    two_last = F.when(moved, value).otherwise(one_last)
-    new = F.when(F.size(options) == 4, F.concat(others, F.array(two_last))).otherwise(options)
-    return F.struct(two_stem.alias("stem"), new.alias("options"))
+    start = F.coalesce(_ends(q["stem"]), F.lit(""))
+    long = (F.length(last) > mean + surplus) & ~start.rlike("[？?]$")
+    best = F.when(long, F.array_min(F.array_compact(F.transform(inside, candidate))))
+
+    def made(x: Column) -> Column:
+        stem = F.when(x["best"].isNull(), q["stem"]).when(x["start"] == "", x["best"]["right"]).otherwise(F.concat_ws(f" {BLANK} ", x["start"], x["best"]["right"]))
+        return F.struct(stem.alias("stem"), q["others"].alias("others"), F.coalesce(x["best"]["left"], last).alias("last"))
+
+    return _let(F.struct(best.alias("best"), start.alias("start")), made)
+
+
+def _cut_by_value(q: Column) -> Column:
+    others, last = q["others"], q["last"]
+    unit_of = lambda k: _ends(F.regexp_extract(F.element_at(others, k), r"([\u4e00-\u9fff\s]+)$", 1))
+    after = F.regexp_replace(F.substr(last, F.length(F.regexp_extract(last, rf"^\s*{_NUMBER}", 0)) + 1, F.length(last)), r"(?U)^\s+", "")
+    seen = F.struct(
+        F.when(unit_of(2) == unit_of(3), unit_of(2)).otherwise("").alias("unit"), last.rlike(rf"^\s*{_NUMBER}").alias("number"), after.alias("after"), last.endswith("為限").alias("limited"),
+        _ends(F.regexp_replace(last, "為限$", "")).alias("bounded"),
+    )
+
+    def told(x: Column) -> Column:
+        rest = _ends(F.substr(x["after"], F.length(x["unit"]) + 1, F.length(x["after"])))
+        value = _ends(F.concat(F.substr(last, F.lit(1), F.length(last) - F.length(x["after"])), x["unit"]))
+        tail = F.struct(rest.alias("rest"), value.alias("value"))
+
+        def moved(y: Column) -> Column:
+            words = (F.length(y["rest"]) >= 2) | (x["unit"] == "")
+            tailed = x["number"] & F.startswith(x["after"], x["unit"]) & y["rest"].rlike(r"^[\p{L}\p{N}_\s]+$") & y["rest"].rlike(r"[\u4e00-\u9fffA-Za-z]") & words
+            by_limit = F.when(x["bounded"].rlike(_VALUE), F.struct(x["bounded"].alias("last"), F.lit("為限").alias("tail")))
+            return F.when(x["limited"], by_limit).when(tailed, F.struct(y["value"].alias("last"), y["rest"].alias("tail")))
+
+        return _let(tail, moved)
+
+    def made(m: Column) -> Column:
+        blank = F.when(F.contains(q["stem"], F.lit(BLANK)), q["stem"]).otherwise(F.concat_ws(" ", q["stem"], F.lit(BLANK)))
+        stem = F.when(m.isNull(), q["stem"]).otherwise(F.trim(F.concat_ws(" ", blank, m["tail"])))
+        return F.struct(stem.alias("stem"), F.concat(others, F.array(F.coalesce(m["last"], last))).alias("options"))
+
+    values = F.forall(others, lambda o: o.rlike(_VALUE))
+    return _let(F.when(values, _let(seen, told)), made)
 
 
 def content_key(*parts: Column) -> Column:

@@ -16,8 +16,8 @@ def one(spark):
 @pytest.mark.parametrize("f, text, want", [
     (P.tf_answer, "（○）", 0), (P.tf_answer, "( X )", 1), (P.tf_answer, "（3）", None), (P.tf_answer, None, None),
     (P.digit_answers, "（3.1 3）", [0, 2]), (P.digit_answers, "（２）", [1]), (P.digit_answers, "（9）", None), (P.digit_answers, "x", None),
-    (P.field_clean, "甲 乙( a )【請接續背面】: ", "甲乙(a)"), (P.subscripts_joined, "H 2 O", "H2O"),
-    (P.deleted, "（刪　除）", True), (P.deleted, "第三條", False), (P.needs_image, "如下圖所示", True), (P.needs_table, "依下表", True), (P.needs_image, None, False),
+    (P.field_clean, "甲 乙( a )【請接續背面】: ", "甲乙(a)"), (P.indexes_joined, "當 I 0 與 X 1 年，Q d 及 MU A。", "當 I₀ 與 X1 年，Qd 及 MU_A。"),
+    (P.deleted, "（刪　除）", True), (P.deleted, "第三條", False), (P.needs_image, "如下圖所示", True), (P.needs_table, "依下表", True), (P.needs_image, None, False), (P.needs_image, "如 圖", True), (P.needs_image, "圖（三）", True), (P.needs_image, "圖 3", False), (P.deleted, "（删除）", True),
     (P.layout_blocks, '```json\n{"blocks":[{"type":"paragraph","text":" "},{"type":"steps","items":["a"]}]}\n```', [("steps", None, ["a"])]), (P.layout_blocks, "oops", None),
 ])
 def test_columns(one, f, text, want):
@@ -30,12 +30,19 @@ def test_options_follow_their_sequence(one):
     assert (got.stem, got.options) == ("下列", ["甲 (３) 乙", "丙", "丁"])
     assert one(P.lettered_options, "無選項").options == [] and one(P.lettered_options, None) is None
     assert one(P.circled_options, "題 ①一②二").options == ["一", "二"]
-    assert tuple(one(P.passage_range, "第 11-15 題為題組")) == (11, 15) and one(P.passage_range, "第 3 題") is None
+    assert tuple(one(P.passage_range, "▲閱讀下文，回答第 11 - 15 題 水 庫\n很大。\n11. 問")) == (11, 15, "水 庫\n很大。") and one(P.passage_range, "第 11-15 題為題組") is None
     assert tuple(one(P.bracketed_answer, "3")) == (2, False) and tuple(one(P.bracketed_answer, "送分")) == (0, True)
 
 
-def test_locks_and_units(one):
-    assert one(P.locked, ["甲乙", "丙"], "array<string>") and one(P.locked, list("ABCD"), "array<string>") and not one(P.locked, ["檢查", "更換"], "array<string>") and not one(P.locked, None, "array<string>")
+@pytest.mark.parametrize("options, named, locked", [
+    (["以上皆是", "丙"], True, True), (["皆非"], True, True), (["選項一"], True, True), (["選項(B)與(C)"], True, True), (list("ABCD"), False, True), (["1", "2", "3", " 4"], False, True),
+    (["甲、B", "C"], False, True), (["甲乙", "丙"], False, False), (["AB", "CD"], False, False), (["ABC", "BD"], False, False), (["檢查", "更換"], False, False), (None, False, False),
+])
+def test_locks(one, options, named, locked):
+    assert one(lambda c: P.locked(c, letters=False), options, "array<string>") is named and one(P.locked, options, "array<string>") is locked
+
+
+def test_units_and_many_options(one):
     assert one(P.units_rebalanced, ["1 m3", "2 m3", "3 m3", "4 m3 /ha /ha /ha /ha"], "array<string>") == ["1 m3/ha", "2 m3/ha", "3 m3/ha", "4 m3/ha"]
     assert one(P.units_rebalanced, ["1", "2 /ha"], "array<string>") == ["1", "2 /ha"]
 
@@ -74,11 +81,30 @@ def test_lines_and_stems(spark, rows):
     assert imports.merge_lines([]) == [] and imports.merge_lines(["（○）"]) == ["（○）"]
     df = spark.createDataFrame([(1, 2, "續"), (1, 1, "1. 甲")], "doc_id int, no int, line string")
     assert rows(imports.merged_lines(df, "doc_id")) == [(1, 0, "1. 甲 續")]
-    assert imports.trailing_stem("應於", ["三日內", "五日內", "七日內", "十日內向主管機關申報"]) == ("應於 ______ 向主管機關申報", ["三日內", "五日內", "七日內", "十日內"])
-    assert imports.trailing_stem("期限", ["1年", "2年", "3年", "4年為限"]) == ("期限 ______ 為限", ["1年", "2年", "3年", "4年"])
-    assert imports.trailing_stem("何者正確？", ["a", "b", "c", "a very long last option"])[1][3] == "a very long last option"
-    s = spark.createDataFrame([("應於", ["三日內", "五日內", "七日內", "十日內申報完畢後"]), (None, None)], "s string, o array<string>")
-    assert s.select(imports.trailing_stems(F.col("s"), F.col("o")).alias("r")).collect()[0].r.options[3] == "十日內"
+
+
+@pytest.mark.parametrize("stem, options, new_stem, last", [
+    ("申報應於", ["三日內", "五日內", "七日內", "十日內向主管機關提出"], "申報應於 ______ 向主管機關提出", "十日內"),
+    ("", ["三日內", "五日內", "七日內", "十日內向主管機關提出"], "向主管機關提出", "十日內"),
+    ("何者正確？", ["a", "b", "c", "a very long last option"], "何者正確？", "a very long last option"),
+    ("應於", ["三日內", "五日內", "七日內", "十日內"], "應於", "十日內"),
+    ("由", ["縣長", "市長", "部長", "總統 任命之官員辦理"], "由 ______ 任命之官員辦理", "總統"),
+    ("期限", ["1年", "2年", "3年", "4年為限"], "期限 ______ 為限", "4年"),
+    ("期限", ["1 年", "2 年", "3 年", "6 個月為限"], "期限 ______ 為限", "6 個月"),
+    ("相距", ["10公尺", "20公尺", "30公尺", "40公尺以上"], "相距 ______ 以上", "40公尺"),
+    ("罰 ______ 元", ["1", "2", "3", "4萬元"], "罰 ______ 元 萬元", "4"), ("罰", ["1", "2", "3", "4 萬元"], "罰 ______ 萬元", "4"),
+    ("期限", ["1年", "2年", "3年", "4年內"], "期限", "4年內"),
+    ("a", ["x", "y", "z"], "a", None),
+])
+def test_trailing_stems(spark, stem, options, new_stem, last):
+    df = spark.createDataFrame([(stem, options)], "s string, o array<string>")
+    got = df.select(P.trailing_stem(F.col("s"), F.col("o")).alias("r")).first().r
+    assert got.stem == new_stem and got.options == (options if last is None else [*options[:3], last])
+
+
+def test_trailing_stems_of_nulls(spark):
+    df = spark.createDataFrame([(None, None), (None, ["a", "b", "c", None])], "s string, o array<string>")
+    assert [(r.r.stem, r.r.options) for r in df.select(P.trailing_stem(F.col("s"), F.col("o")).alias("r")).collect()] == [(None, None), (None, ["a", "b", "c", None])]
 
 
 def test_layout(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from examforge.functions import text as T
-from examforge.operators import audit, catalog, laws, quality, ranges, segment
+from examforge.operators import audit, catalog, laws, papers, quality, ranges, segment
 from examforge.plans import registry
 
 
@@ -11,15 +11,17 @@ def one(spark, column, value):
     return spark.createDataFrame([(value,)], "t string").select(column(F.col("t")).alias("r")).first().r
 
 
-@pytest.mark.parametrize("numeral, n", [("十", 10), ("十二", 12), ("二十", 20), ("一百零五", 105), ("一百", 100), ("九百九十九", 999), ("7", 7), ("三", 3), ("", None), ("甲", None), (None, None), ("〇", None)])
+@pytest.mark.parametrize("numeral, n", [("十", 10), ("十二", 12), ("二十", 20), ("一百零五", 105), ("一百", 100), ("九百九十九", 999), ("7", 7), ("三", 3), ("", None), ("甲", None), (None, None), ("〇", None), ("兩百", 200), ("十百", 110)])
 def test_chinese_numbers(spark, numeral, n):
     got = one(spark, T.chinese_number, numeral)
     assert got == n or (numeral == "〇" and got == 0)
 
 
 @pytest.mark.parametrize("f, before, after", [
-    (T.gaps_joined, "臺 灣 水 利", "臺灣 水利"), (T.spaced, "共１２組ＡＢ型", "共 12 組 AB 型"), (T.stem, "甲、乙？ A_b ①½é", "甲乙a_b①½é"),
-    (T.fences_stripped, "<think>x</think>\n```json\n{}\n```", "{}"), (T.powers_joined, "10 ^ 3 與 10 -3", "10^3 與 10^-3"), (T.compare_key, "Ａ１ ，㎡(cid:12)。b", "A1m2b"),
+    (T.gaps_joined, "臺 灣 水 利", "臺灣 水 利"), (T.gaps_joined, "下列 何者 正確 的 是", "下列何者 正確的 是"), (T.gaps_joined, "甲 乙", "甲 乙"), (T.gaps_removed, "甲 ， 乙 ab 丙", "甲，乙 ab 丙"),
+    (T.spaced, "共12組ab型（甲）％", "共 12 組 ab 型(甲)%"), (T.spaced, "何者？！  甲", "何者？！ 甲"), (T.stem, "甲、乙？ A_b ①½é", "甲乙a_b①½é"), (T.marks_mapped, "Å甲Ç乙", "①甲②乙"),
+    (T.fences_stripped, "<think>x</think>\n```json\n{}\n```", "{}"), (T.powers_joined, "3 x 10 元，6 與 5×10 元", "3×10^6 元， 與 5×10 元"), (T.compare_key, "Ａ１ ，㎡(cid:12)。b(cid:711)", "A1,m2bˇ"),
+    (T.layout_normalized, "甲\uf0e0 乙 ,丙 .", "甲→ 乙,丙."), (T.explanation_cleaned, "```json\n{\"explanation\": \" 白話 \"}\n```", "白話"), (T.explanation_cleaned, "想\n改寫後：解釋：甲\n乙", "甲 乙"),
 ])
 def test_normalization(spark, f, before, after):
     assert one(spark, f, before) == after
@@ -32,19 +34,23 @@ def test_years(spark):
 
 
 @pytest.mark.parametrize("options, want", [
-    (["12 公尺", "13 公尺", "14公尺", "15 公尺，因為水位在夜間應該上升"], True), (["12", "13", "14"], False),
-    (["檢查", "更換", "12 公尺，因為水位在夜間應該上升"], False), (["12", "13", "水位在夜間應該上升，因為下雨了吧"], False), (["12", "13，因為水位在夜間應該上升"], False), (None, False), ([], False),
+    (["1 個月", "3 個月", "6 個月", "1 年以上者，同時吊扣其牌照，至檢驗合格後發還"], 3), (["2 公尺", "10 公尺以上者應於夜間亮燈警示之", "3 公尺"], 1),
+    (["1 個月", "3 個月", "6 個月", "1 年"], None), (["10 公分，小型車不得超過 15 公分", "15 公分，小型車不得超過 10 公分", "均不得超過 10 公分"], None),
+    (["1 年", "2 年", "3 年", "患有某種疾病者不得申請駕駛執照考驗"], None), (["1 年", "2 年", "3 英吋，因為水位在夜間應該上升"], None), (["1 年", "2 年，同時吊扣其牌照"], None), (["1 年", None, "2 年", "1 年以上者，同時吊扣其牌照，至檢驗"], None), (None, None), ([], None),
 ])
 def test_leaks(spark, options, want):
     df = spark.createDataFrame([(options,)], "o array<string>")
-    assert df.select(quality.leaks(F.col("o")).alias("r")).first().r is want
+    assert df.select(quality.leak(F.col("o")).alias("r")).first().r == (None if want is None else options[want])
 
 
 def test_completeness_and_missing_ids(spark, rows):
-    q = spark.createDataFrame([(i, "b", k, "q", ["a", "b"], "0") for i, k in enumerate((1, 2, 2, 4))] + [(9, "c", 1, "", None, "[5]")], "row_id bigint, bank string, id int, question string, options array<string>, answer string")
+    four = ["a", "b", "c", "d"]
+    q = spark.createDataFrame([(i, "b", k, "q", four, "0", None) for i, k in enumerate((1, 2, 2, 4))] + [(9, "c", 1, "", None, "[5]", None), (10, "d", 1, "q", four, None, True), (11, "d", 2, "q 請接續", four, "[0, 3]", None)], "row_id bigint, bank string, id int, question string, options array<string>, answer string, freescore boolean")
+    assert rows(quality.issues(q)) == [("b", "missing", 3), ("b", "repeated", 2), ("c", "bad_options", 1), ("c", "empty", 1), ("c", "odd_answers", 1), ("d", "suspicious", 2)]
     r = {x.bank: x for x in quality.completeness(q).collect()}
-    assert (r["b"].n_missing, r["b"].repeated, r["b"].status) == (1, 1, "review")
-    assert (r["c"].empty_question, r["c"].bad_options, r["c"].odd_answers) == (1, 1, 1)
+    assert (r["b"].missing, r["b"].repeated, r["b"].status, r["d"].suspicious) == (1, 1, "review", 1)
+    assert quality.completeness(q.where("row_id = 10")).first().status == "ok" and quality.completeness(q.where("row_id = 10"), expected=2).first().status == "review"
+    assert rows(quality.issues(q.where("row_id = 3"), expected=3).where("issue in ('missing', 'extra')")) == [("b", "extra", 4), ("b", "missing", 1), ("b", "missing", 2), ("b", "missing", 3)]
     assert rows(quality.missing_ids(q, step=2)) == [("b", 3)]
 
 
@@ -78,6 +84,8 @@ def test_folds(spark):
     assert [tuple(x) for x in m.select(segment.without_overlaps(F.col("m")).alias("r")).first().r] == [(0, 5), (5, 6), (9, 10)]
     s = spark.createDataFrame([(["a" * 50, "b" * 50, "c；", "d"],)], "s array<string>")
     assert [len(x) for x in s.select(segment.buffered(F.col("s")).alias("r")).first().r] == [100, 2, 1]
+    s = spark.createDataFrame([("甲。乙。丙。 " + "丁" * 95 + "。戊；己",)], "s string")
+    assert s.select(segment.buffered(segment.sentences(F.col("s"))).alias("r")).first().r == ["甲。乙。", "丙。" + "丁" * 95 + "。", "戊；", "己"]
 
 
 def test_rows_by_height(spark):
@@ -127,9 +135,39 @@ def test_routing(spark):
 
 
 def test_catalogue(spark):
-    df = spark.createDataFrame([("questions/110農田水利-大型車-栽培實務-000001.json",), ("questions/questions.json",)], "file string")
-    got = df.select(*[c.alias(n) for n, c in catalog.bank_parts(F.col("file")).items()]).collect()
-    assert (got[0].year, got[0].subject, got[0].number, got[0].shown) == ("110", "栽培實務", 1, "110 栽培實務（大型車）") and got[1].shown == "questions"
+    df = spark.createDataFrame([(f"questions/{n}.json",) for n in ("110統測專二-農業概要", "交通部115-2-汽車構造", "交通部110-道路交通法規", "113農田水利署-法學緒論", "112 甲 - 乙_丙(2)", "questions")], "file string")
+    got = df.select(*[c.alias(n) for n, c in catalog.bank_parts(F.col("file")).items()], catalog.bank_name(F.col("file")).alias("name")).collect()
+    assert [(r.year, r.source, r.category, r.subject, r.original) for r in got] == [
+        ("110", "統測專二", "商業與管理群", "農業概論", "農業概要"), ("115", "交通部", "第2梯次", "汽車構造", "汽車構造"), ("110", "交通部", "年度檢定", "道路交通法規", "道路交通法規"),
+        ("113", "農田水利署", "共同科目", "公文與法學緒論", "法學緒論"), ("112", "農田水利", "甲", "乙 丙", "乙 丙"), ("", "農田水利", "", "questions", "questions"),
+    ]
+    assert [r.shown for r in got][:3] == ["110 農業概論", "115 汽車構造（第2梯次）", "110 道路交通法規（年度檢定）"] and [r.name for r in got][3:] == ["113 法學緒論（農田水利署）", "112 乙 丙（甲）", "questions"]
+
+
+def test_references_in_context(spark, rows):
+    laws_ = spark.createDataFrame([(1, "水利法"), (2, "農田水利法"), (3, "農田水利法施行細則"), (4, None)], "doc_id bigint, title string")
+    texts = [
+        (1, "第 1 條　甲。\n第 2 條　前條及第 1 條之規定，依農田水利法第 3 條、第 2 條。\n第 3 條　乙。"),
+        (2, "第 1 條　依水利法辦理；第 2 條亦同。\n第 2 條　丙。\n第 3 條　丁。"),
+        (3, "第一章 總則\n第 1 條　本法第 3 條所稱，指第九條。\n第 2 條　包括水利法。其第 3 條另定，本條第 2 條不計。"),
+    ]
+    found = laws.articles(spark.createDataFrame([*texts, (4, None)], "doc_id bigint, text string"))
+    got = rows(laws.links(found, laws_).select("source", "seq", "text", "target", "target_no", "method"))
+    assert got == sorted([
+        (1, 2, "前條", 1, "1", "previous-article"), (1, 2, "第 1 條", 1, "1", "same-law"), (1, 2, "第 3 條", 2, "3", "sentence-law-context"), (1, 2, "第 2 條", 2, "2", "sentence-law-context"),
+        (2, 1, "第 2 條", 2, "2", "same-law"), (3, 1, "第 3 條", 2, "3", "this-law"), (3, 2, "第 3 條", 1, "3", "nearby-law-context"), (3, 2, "第 2 條", 1, "2", "nearby-law-context"),
+    ])
+    assert {r.chapter for r in found.collect()} == {"未分章", "第 一 章 總則"}
+    assert rows(laws.sizes(found)) == [(1, 1, 3), (2, 1, 3), (3, 1, 2)]
+
+
+def test_papers(spark, rows):
+    text = "汽車構造筆試試題\n一、是非題\n（○）1. 甲\n第 2 頁\n（X）2. 乙\n二、選擇題\n（2）1. 丙(1)子(2)丑(3)寅(4)卯（1.5）公升\n續（3或4）2. 丁\n三、問答題\n（1）1. 戊\n國文筆試試題\n（1）1. 己"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").withColumn("text", papers.paper(F.col("text"), "汽車構造"))
+    got = papers.blocks(papers.sections(df))
+    assert rows(got.select("number", "answer")) == [(1, [0]), (2, [1]), (3, [1]), (4, None)]
+    bank = spark.createDataFrame([(1, 1, "甲", ["O", "X"], [0]), (1, 2, "乙", ["O", "X"], [0]), (1, 3, "丙______（1.5）公升續", ["子", "丑", "寅", "卯"], [1]), (1, 4, "丁丁", [], [0]), (1, 5, "無", [], [0])], "doc_id bigint, id int, question string, options array<string>, answers array<int>")
+    assert rows(papers.compared(bank, got)) == [(1, None, "count"), (1, 2, "answer"), (1, 4, "text"), (1, 5, "missing")]
 
 
 def test_general_text_queries_read_every_source(spark, tmp_path):
