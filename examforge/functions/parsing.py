@@ -57,7 +57,7 @@ def marked(text: Column, marker: str, sequence: str | None = None) -> Column:
         return F.when(x["s"] == F.substring(F.lit(sequence), F.size(acc), F.lit(1)), new).otherwise(same)
 
     parts = F.aggregate(rest, start, step)
-    tidy = lambda t: F.rtrim(F.regexp_replace(F.trim(t), r"\s+", " "), F.lit("。.，,；"))
+    tidy = lambda t: F.rtrim(F.trim(F.regexp_replace(t, r"\s+", " ")), F.lit("。.，,；"))
     return F.when(text.isNotNull(), F.struct(F.trim(F.element_at(parts, 1)).alias("stem"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), tidy).alias("options")))
 
 

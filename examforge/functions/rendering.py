@@ -13,8 +13,14 @@ def option_lines(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(i + 65), F.lit(". "), o)), "\n")
 
 
+def row_values(raw: Column) -> Column:
+    """Values of a table's row written as a JSON array or object, in order; null for anything else."""
+    return F.when(F.ltrim(raw).startswith("{"), F.map_values(F.from_json(raw, "map<string,string>"))).when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>"))
+
+
 def material_text(materials: Column) -> Column:
-    """Title and content of texts and tables, a placeholder for images, notes below."""
+    """Title and content of texts, tables as Markdown where they have headers and rows, a placeholder for images, notes
+    below. Materials without headers and rows of their own are written by title and content."""
 
     def one(m: Column) -> Column:
         body = F.concat(F.coalesce(m["title"], F.lit("")), F.lit("\n"), F.coalesce(m["content"], F.lit("")))
@@ -24,6 +30,11 @@ def material_text(materials: Column) -> Column:
     return F.array_join(F.transform(materials, one), "\n")
 
 
+def table_text(title: Column, headers: Column, rows: Column, notes: Column) -> Column:
+    """A table material: title, Markdown table, notes, a line each, missing ones skipped."""
+    return F.concat_ws("\n", F.nullif(title, F.lit("")), markdown_table(headers, rows), F.nullif(notes, F.lit("")))
+
+
 def markdown_table(headers: Column, rows: Column) -> Column:
     """A table of arrays as Markdown lines."""
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))

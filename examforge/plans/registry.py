@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from examforge.plans import attempts, catalog, checks, quizzes, texts
+from examforge.plans import attempts, catalog, checks, literal, quizzes, texts
 
-MODULES = (attempts, quizzes, catalog, texts, checks)
+MODULES = (attempts, quizzes, catalog, texts, checks, literal)
 
 
 def queries() -> dict:

@@ -5,10 +5,11 @@ Malformed files give no rows instead of failing a load; every row keeps the file
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from examforge import schemas
+from examforge.operators.catalog import is_traffic
 
 
 def _json(spark: SparkSession, schema, paths: str | list[str]) -> DataFrame:
@@ -88,3 +89,47 @@ def only_file(spark: SparkSession, root: str, suffix: str) -> str:
     if len(found) != 1:
         raise ValueError(f"expected one file *{suffix} in {root}, found {sorted(found)}")
     return found[0]
+
+
+def amendments(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Amendment files of several laws in one frame, each row tagged with its law: law name -> path."""
+    out = None
+    for law, path in paths.items():
+        rows = _json(spark, schemas.AMENDMENT, path).select(F.lit(law).alias("law"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], "law string, article_no string, date_roc string, text string, reason string") if out is None else out
+
+
+def laws(spark: SparkSession, path: str, layouts: str | None = None, links: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, layout blocks, references) of the law files; the second and the third one are optional and give no rows
+    where they are missing. articles: doc_id, title, seq, chapter, article_no, text, explanation."""
+    raw = _json(spark, schemas.LAW, path)
+    a = raw.select(F.col("id").alias("doc_id"), "title", F.posexplode("chapters").alias("c_no", "c")).select("doc_id", "title", "c_no", F.col("c.title").alias("chapter"), F.posexplode("c.articles").alias("a_no", "a"))
+    w = Window.partitionBy("doc_id").orderBy("c_no", "a_no")
+    articles = a.select("doc_id", "title", F.row_number().over(w).alias("seq"), "chapter", F.col("a.no").alias("article_no"), "a.text", "a.explanation")
+    blocks = _json(spark, "source string, blocks array<struct<type:string,text:string,items:array<string>>>", [layouts] if layouts else []) if layouts else spark.createDataFrame([], "source string, blocks array<struct<type:string,text:string,items:array<string>>>")
+    refs = "refs array<struct<field:string,text:string,targetLawId:string,targetArticleId:string,targetLawTitle:string,targetArticleTitle:string,confidence:double,method:string>>"
+    found = _json(spark, f"source string, {refs}", links) if links else spark.createDataFrame([], f"source string, {refs}")
+    return articles, blocks, found.select("source", F.explode("refs").alias("r")).select("source", "r.*")
+
+
+def bank_maps(banks_: DataFrame) -> DataFrame:
+    """(file, label, traffic) of a bank index: the displayed name, else the name, else the file's stem, and the track."""
+    stem = F.regexp_extract("file", r"([^/]+)\.json$", 1)
+    label = F.coalesce(F.nullif("displayname", F.lit("")), F.nullif("name", F.lit("")), stem)
+    return banks_.select("file", label.alias("label"), is_traffic(F.col("source"), F.col("file")).alias("traffic"))
+
+
+def changelog(spark: SparkSession, path: str, placeholder: str = "") -> DataFrame:
+    """(day, time, message) of a changelog file, an array of days with items; a file that is none or empty gives one row
+    with the placeholder."""
+    days = _json(spark, "date string, items array<struct<time:string,message:string>>", path).where(F.col("date").isNotNull())
+    rows = days.select(F.col("date").alias("day"), F.explode("items").alias("i")).select("day", "i.time", "i.message")
+    return rows if not rows.isEmpty() else spark.createDataFrame([(None, None, placeholder)], "day string, time string, message string")
+
+
+def unreadable(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, problem): files that aren't an array of objects, for reports next to what was read."""
+    t = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("v"))
+    parsed = F.try_parse_json("v")
+    return t.where(parsed.isNull() | ~F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))).select("file", F.when(F.try_parse_json("v").isNull(), "unreadable").otherwise("no list").alias("problem"))

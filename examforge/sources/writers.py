@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examforge.functions import grading, rendering
+from examforge.operators.laws import NO_CHAPTER
 
 
 def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -19,9 +20,11 @@ def without(rows: DataFrame, key: str, values: list) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str], blank: Column | None = None) -> DataFrame:
-    """Full outer merge: a new row replaces the old one; rows for which `blank` holds are deleted."""
+    """Full outer merge: a new row replaces the old one; rows for which `blank` holds are deleted. Of several new rows of a
+    key the last one counts: the one of the largest `_order` if there is such a column, else the largest."""
     o = old.select(*keys, F.struct(*fields).alias("o"))
-    n = new.select(*keys, F.struct(*fields).alias("n")).dropDuplicates(keys)
+    pick = F.max_by(F.struct(*fields), F.col("_order")) if "_order" in new.columns else F.max(F.struct(*fields))
+    n = new.groupBy(*keys).agg(pick.alias("n"))
     merged = o.join(n, keys, "full").select(*keys, F.coalesce("n", "o").alias("v")).select(*keys, "v.*")
     return merged if blank is None else merged.where(~F.coalesce(blank, F.lit(False)))
 
@@ -51,11 +54,28 @@ def exported(questions: DataFrame, by: str) -> DataFrame:
     return g.select(by, F.array_join(F.transform("l", lambda x: x["t"]), f"\n{rendering.RULE}\n").alias("text"))
 
 
-def law_text(articles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text): articles written out again, explanations below them."""
+def law_text(articles: DataFrame, titles: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, text): laws written out again: the title, a chapter's line before its first article, articles with their
+    explanations below. titles: key, title."""
     body = F.concat_ws("\n", F.concat(F.lit("第 "), F.col("article_no"), F.lit(" 條　"), F.col("text")), F.when(F.col("explanation") != "", F.concat(F.lit("解釋："), F.col("explanation"))))
-    g = articles.select(key, "seq", body.alias("b")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("l"))
-    return g.select(key, F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("text"))
+    before = F.lag("chapter").over(Window.partitionBy(key).orderBy("seq"))
+    opens = F.when(~F.col("chapter").eqNullSafe(before) & (F.col("chapter") != NO_CHAPTER), F.col("chapter"))
+    rows = articles.withColumn("b", F.concat_ws("\n\n", opens, body))
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["b"]), "\n\n")
+    if titles is None:
+        return g.select(key, text.alias("text"))
+    return g.join(titles, key, "left").select(key, F.concat_ws("\n\n", F.nullif("title", F.lit("")), text).alias("text"))
+
+
+def noted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Notes on articles (law, article_no, note): new ones over the old, blank ones delete."""
+    return upserted(old, new, ["law", "article_no"], ["note"], F.trim(F.coalesce("note", F.lit(""))) == "")
+
+
+def audit_log(entries: DataFrame, path: str) -> None:
+    """Entries (bank_name, id, entry) of reviews.log as text, a blank line between, in their order."""
+    entries.orderBy("bank_name", "id").select(F.concat("entry", F.lit("\n"))).write.mode("overwrite").text(path)
 
 
 def markdown_report(report: DataFrame, most_rows: int = 1000) -> str:
