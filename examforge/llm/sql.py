@@ -33,6 +33,14 @@ def oracle_sql() -> dict[str, str]:
             WITH r AS ({_REDUCED}), g AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, o) AS first_id FROM r)
             SELECT first_id AS row_id_a, row_id AS row_id_b FROM g WHERE row_id > first_id""",
         "p4_found": f"WITH {_SIMILAR} SELECT row_id_a, row_id_b FROM p",
+        "p4_groups": f"""
+            WITH RECURSIVE {_SIMILAR},
+            class AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, o) AS c FROM r),
+            link AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p JOIN class a ON a.row_id = p.row_id_a JOIN class b ON b.row_id = p.row_id_b),
+            linked AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+            reach AS (SELECT DISTINCT c AS a, c AS b FROM class UNION SELECT reach.a, linked.b FROM reach JOIN linked ON linked.a = reach.b),
+            least AS (SELECT a, min(b) AS g FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
+            SELECT row_id, least.g AS group_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links FROM class JOIN least ON least.a = class.c LEFT JOIN links ON links.a = class.c""",
         "p3_copy_counts": f"""
             WITH r AS ({_REDUCED}) SELECT min(row_id) AS row_id, CAST(count(*) AS BIGINT) AS n_copies FROM r GROUP BY q, o""",
     }
