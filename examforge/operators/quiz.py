@@ -109,11 +109,15 @@ def sampling_key(seed: str, times: Column, *key: Column) -> Column:
     return -F.log(uniform(seed, *key)) * (F.lit(1.0) + times) * (F.lit(1.0) + times)
 
 
-def take_blocks(sized: DataFrame, by: list[str], order: list[str], size: str, most: Column) -> DataFrame:
-    """Whole blocks in order until `most` rows are reached; the last block may go over. One window over the blocks of
-    each request; sized has a row a block."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("taken_before", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint")).where(F.col("taken_before") < most)
+def take_blocks(sized: DataFrame, by: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """Whole blocks in order until `most` rows are reached; the last block may go over. sized has a row a block.
+
+    A block has a row at least, so the first `most` blocks of a request are enough: a limit by rank, which is applied
+    before the shuffle as well, so that a request with a third of all blocks sends few of them to its task."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    near = sized.where(F.col(size) > 0).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    return near.withColumn("taken_before", before).where(F.col("taken_before") < most)
 
 
 def take_exactly(sizes: list[int], wanted: int) -> list[int]:
@@ -265,7 +269,7 @@ def select(spec: QuizSpec, questions: DataFrame, log: DataFrame, overrides: Data
         chosen = sized
     elif spec.mode == "all":
         # a quiz of n rows needs at most the n first blocks: a distributed top-k, then a window over those few rows
-        chosen = take_blocks(sized.orderBy("key", "block").limit(spec.num), ["request"], ["key", "block"], "size", F.lit(spec.num))
+        chosen = take_blocks(sized.orderBy("key", "block").limit(spec.num), ["request"], ["key", "block"], "size", spec.num)
     else:
         chosen = exact_selection(sized, ["request"], ["key", "block"], "size", spec.num).join(sized.select("block", "key"), "block")
     return q.join(chosen.select("block", "key"), "block")

@@ -80,7 +80,7 @@ BLOCKS = plans.sql["question_blocks"]
     WHERE taken_before < 25""")
 def block_take_overshoot(spark, d):
     b = quiz.blocks(table(spark, d, "questions").select("row_id", "bank", "groupid", "materials")).groupBy("bank", "block").agg(F.count("*").alias("size"))
-    return quiz.take_blocks(b, ["bank"], ["block"], "size", F.lit(25))
+    return quiz.take_blocks(b, ["bank"], ["block"], "size", 25)
 
 
 @plans.add()

@@ -83,7 +83,7 @@ def test_requests_that_the_first_blocks_leave_open_are_read_on(spark, rows):
 
 def test_overshooting_take(spark, rows):
     b = spark.createDataFrame([(0, 1, 1), (0, 2, 3), (0, 3, 1)], "r int, block int, size int")
-    assert rows(quiz.take_blocks(b, ["r"], ["block"], "size", F.lit(2)).select("block", "taken_before")) == [(1, 0), (2, 1)]
+    assert rows(quiz.take_blocks(b, ["r"], ["block"], "size", 2).select("block", "taken_before")) == [(1, 0), (2, 1)]
 
 
 def test_weights_prefer_what_was_tried_less(spark):
