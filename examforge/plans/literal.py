@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from examforge.functions import parsing as P
 from examforge.functions import rendering as R
 from examforge.functions import text as T
-from examforge.operators import audit, imports, laws, papers, quiz, ranges, reviews, segment
+from examforge.operators import audit, imports, laws, papers, quality, quiz, ranges, reviews, segment
 from examforge.plans.base import Plans
 from examforge.sources import writers
 
@@ -449,3 +449,34 @@ def literal_answer_keys(spark, d):
 def literal_layout_blocks(spark, d):
     df = spark.createDataFrame([(1, '```json\n{"blocks":[{"type":"paragraph","text":" "},{"type":"steps","items":["a"]}]}\n```'), (2, "oops")], "id int, t string")
     return df.select("id", shown(F.transform(P.layout_blocks(F.col("t")), lambda b: b["type"])).alias("blocks"))
+
+
+@plans.add(expected("k place a b", [(1, 3, "def", "xef"), (3, 2, "", "c")], k="INTEGER", place="INTEGER"))
+def literal_first_differences(spark, d):
+    df = spark.createDataFrame([(1, "abcdef", "abcxef"), (2, "ab", "ab"), (3, "ab", "abc")], "k int, a string, b string")
+    return quality.first_difference(df, "k", "a", "b").select("k", "place", F.col("left").alias("a"), F.col("right").alias("b"))
+
+
+@plans.add(expected("bank status n_issues", [("a", "ok", 0), ("b", "review", 1), ("c", "review", 0)], n_issues="BIGINT"))
+def literal_report_status(spark, d):
+    issues = spark.createDataFrame([("a", "question"), ("b", "answer")], "bank string, issue string")
+    qa = spark.createDataFrame([("a", "ok"), ("b", "ok"), ("c", "review")], "bank string, status string")
+    return quality.report_status(issues, qa, "bank")
+
+
+@plans.add(expected("signals strong", [("dep=1|dep=2|embed|rerank", True), ("embed", False)]))
+def literal_strong_first(spark, d):
+    df = spark.createDataFrame([(["embed", "dep=1", "rerank", "dep=2"],), (["embed"],)], "s array<string>")
+    return df.select(shown(audit.strong_first(F.col("s"), "dep")).alias("signals"), F.exists("s", lambda x: x.startswith("dep")).alias("strong"))
+
+
+@plans.add(expected("same other", [(True, False)]))
+def literal_content_keys(spark, d):
+    key = lambda *v: P.content_key(*[F.lit(x) for x in v])
+    return spark.range(1).select((key("a", "b") == key("a", "b")).alias("same"), (key("a", "b") == key("ab", "")).alias("other"))
+
+
+@plans.add(expected("id", [(1,), (4,)], id="INTEGER"))
+def literal_not_excluded(spark, d):
+    q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id int")
+    return papers.without_excluded(q, spark.createDataFrame([(2,)], "id int"), ["id"], spark.createDataFrame([(3, None), (4, 1)], "id int, answer int"))
