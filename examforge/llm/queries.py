@@ -24,6 +24,20 @@ def p2_normalized(spark, d):
     return confusables.normalized_fields(read(spark, d, "questions"))
 
 
+#: Fields of problem 2, what becomes of them and what was odd; the words between them make up the vocabulary.
+FORMS = (
+    ("第５9組 ＫＣ-４８", "第59組 KC-48", "full_width"), ("⽤⽔\ufeff庫", "用水庫", "ideograph,invisible"), ("甲\u00a0乙", "甲 乙", "space"), ("A\u030astro\u0308m", "Åström", "combining"),
+    ("the l\u0435ft valve", "the left valve", "lookalike"), ("以919kP\u0430為上限，編\u041a\u0421-78", "以919kPa為上限，編KC-78", "lookalike"), ("7.2k\u0420\u0430", "7.2kPa", "lookalike"),
+)
+UNTOUCHED = ("left valve left kPa kPa KC-1", "the KC-2", "夾角α與β", "係數χ與κ", "Привет", "q\u0445zzz", "3℃ 5㎡ 7Ω 9μm，（）％　", "")
+
+
+def p2_literal(spark, d):
+    texts = [t for t, _, _ in FORMS] + list(UNTOUCHED)
+    fields = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "row_id bigint, field_no bigint, text string")
+    return confusables.normalized(fields, fields, None).select("row_id", "normalized", "kinds")
+
+
 def p3_found(spark, d):
     return formatdup.copy_pairs(read(spark, d, "questions")).select(F.col("first_id").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
 

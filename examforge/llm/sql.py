@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from examforge.llm.queries import FORMS
+
 
 def _reduced(text: str) -> str:
     """Reduced form; the stops to keep hide behind a symbol that isn't punctuation."""
@@ -9,6 +11,14 @@ def _reduced(text: str) -> str:
     return rf"replace(regexp_replace({dotted}, '[\p{{P}}\p{{Z}}\x09-\x0d\x1c-\x1f\x85]', '', 'g'), '␟', '.')"
 
 
+def _squashed(text: str) -> str:
+    """Squashed form; of NFKC only what the tables hold: full-width letters and digits, unit signs, circled digits."""
+    wide = "".join(chr(c + 0xFEE0) for c in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)))
+    plain = "".join(chr(c) for c in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)))
+    t = f"replace(replace(translate({text}, '{wide}①②③④⑤⑥⑦⑧⑨µ', '{plain}123456789μ'), '㎡', 'm2'), '℃', 'C')"
+    return rf"regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
 _REDUCED = f"""
     SELECT row_id, {_reduced("question")} AS q, list_sort(list_transform(options, lambda o: {_reduced("coalesce(o, '')")})) AS o
     FROM questions WHERE question <> '' AND options IS NOT NULL
@@ -29,6 +39,7 @@ _SIMILAR = f"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_literal": "SELECT CAST(row_id AS BIGINT) AS row_id, normalized, kinds FROM (VALUES " + ", ".join(f"({i}, '{n}', '{k}')" for i, (_, n, k) in enumerate(FORMS)) + ") t(row_id, normalized, kinds)",
         "p3_found": f"""
             WITH r AS ({_REDUCED}), g AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, o) AS first_id FROM r)
             SELECT first_id AS row_id_a, row_id AS row_id_b FROM g WHERE row_id > first_id""",
@@ -41,6 +52,12 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT DISTINCT c AS a, c AS b FROM class UNION SELECT reach.a, linked.b FROM reach JOIN linked ON linked.a = reach.b),
             least AS (SELECT a, min(b) AS g FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM linked GROUP BY a)
             SELECT row_id, least.g AS group_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links FROM class JOIN least ON least.a = class.c LEFT JOIN links ON links.a = class.c""",
+        "p6_found": f"""
+            WITH d AS (SELECT DISTINCT doc_id, {_squashed("text")} AS s FROM documents WHERE text IS NOT NULL),
+            i AS (SELECT item_id, CASE WHEN lang = 'en' THEN 50 ELSE 24 END AS n, {_squashed("passage")} AS s FROM eval_items),
+            w AS (SELECT DISTINCT item_id, n, substr(s, CAST(k AS BIGINT), n) AS w FROM i, range(1, 100000) r(k) WHERE k <= length(s) - n + 1),
+            v AS (SELECT DISTINCT doc_id, n, substr(s, CAST(k AS BIGINT), n) AS w FROM d, (SELECT DISTINCT n FROM i) m, range(1, 100000) r(k) WHERE k <= length(s) - n + 1)
+            SELECT DISTINCT v.doc_id, w.item_id FROM v JOIN w ON w.w = v.w AND w.n = v.n""",
         "p3_copy_counts": f"""
             WITH r AS ({_REDUCED}) SELECT min(row_id) AS row_id, CAST(count(*) AS BIGINT) AS n_copies FROM r GROUP BY q, o""",
     }
