@@ -9,6 +9,7 @@ from examforge.functions import grading, parsing, rendering
 from examforge.operators import imports, quiz, segment
 from examforge.plans.attempts import LOG, log
 from examforge.plans.base import Plans, table
+from examforge.plans.texts import LINES
 
 plans = Plans()
 TYPE = "CASE WHEN answer IS NULL THEN NULL WHEN answer LIKE '[%' THEN 'mc' WHEN len(options) = 2 THEN 'tf' WHEN len(options) > 2 THEN 'sc' END"
@@ -202,7 +203,20 @@ def answer_key_join(spark, d):
     return imports.keyed_answers(q.drop("freescore"), key, ["bank", "id"]).select("row_id", "answer", "found", "free")
 
 
-@plans.add()
+# markers that continue A, B, C, ... open an option; others stay part of the text before them
+_MARK = "[（(]\\s*([A-HＡ-Ｈ])\\s*[)）]"
+_TIDY = "rtrim(trim(regexp_replace({t}, '\\s+', ' ', 'g'), ' '), '。.，,；')"
+
+
+@plans.add(f"""
+    WITH RECURSIVE l AS (SELECT doc_id, no, line, regexp_matches(line, '^\\d{{1,3}}\\s*[.、．]') AS start FROM ({LINES})),
+    e AS (SELECT *, last_value(CASE WHEN start THEN false WHEN regexp_matches(line, '^解析\\s*[：:]') THEN true END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS explained FROM l),
+    g AS (SELECT doc_id, no, line, sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS group_no FROM e WHERE NOT coalesce(explained, false)),
+    t AS (SELECT doc_id, CAST(group_no AS BIGINT) AS group_no, string_agg(line, ' ' ORDER BY no) AS text FROM g WHERE group_no > 0 GROUP BY ALL),
+    m AS (SELECT doc_id, group_no, regexp_extract_all(text, '{_MARK}') AS marks, list_transform(regexp_extract_all(text, '{_MARK}', 1), lambda x: translate(x, 'ＡＢＣＤＥＦＧＨ', 'ABCDEFGH')) AS signs, string_split_regex(text, '{_MARK}') AS pieces FROM t),
+    f AS (SELECT doc_id, group_no, marks, signs, pieces, 1 AS i, [pieces[1]] AS parts FROM m
+      UNION ALL SELECT doc_id, group_no, marks, signs, pieces, i + 1, CASE WHEN signs[i] = substr('ABCDEFGH', len(parts), 1) THEN list_append(parts, pieces[i + 1]) ELSE list_concat(parts[1:len(parts) - 1], [parts[len(parts)] || marks[i] || pieces[i + 1]]) END FROM f WHERE i <= len(marks))
+    SELECT doc_id, group_no, trim(parts[1], ' ') AS stem, array_to_string(list_transform(parts[2:], lambda x: {_TIDY.format(t='x')}), chr(31)) AS options FROM f WHERE i = len(marks) + 1""")
 def lettered_records(spark, d):
     start = F.col("line").rlike(r"^\d{1,3}\s*[.、．]")
     # an explanation runs to the next question and isn't part of the last option
