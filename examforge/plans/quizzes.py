@@ -227,6 +227,21 @@ def lettered_records(spark, d):
     return split.select("doc_id", "group_no", "q.stem", F.array_join("q.options", "\x1f").alias("options"))
 
 
-@plans.add()
+# cur: the line that is taken in others until its brackets are closed; held: answers that wait for a line
+_OPENS = "regexp_matches({x}, '^\\d{{1,3}}\\s*[.、．]')"
+_ANSWER_ONLY = "regexp_matches({x}, '^[（(][○╳×OX1-4]+[)）]$')"
+_UNCLOSED = "length(replace(replace({x}, '）', ''), ')', '')) > length(replace(replace({x}, '（', ''), '(', ''))"
+_GOES_ON = f"cur IS NOT NULL AND {_UNCLOSED.format(x='cur')} AND taken < 5 AND NOT {_OPENS.format(x='l[i]')}"
+_FLUSHED = f"CASE WHEN cur IS NULL THEN done WHEN len(done) > 0 AND NOT ({_OPENS.format(x='cur')} OR held <> '') THEN list_concat(done[1:len(done) - 1], [done[len(done)] || ' ' || cur]) ELSE list_append(done, held || cur) END"
+
+
+@plans.add(f"""
+    WITH RECURSIVE g AS (SELECT doc_id, list(line ORDER BY no) AS l FROM ({LINES}) GROUP BY doc_id),
+    f AS (SELECT doc_id, l, 1 AS i, CAST([] AS VARCHAR[]) AS done, '' AS held, CAST(NULL AS VARCHAR) AS cur, 0 AS taken FROM g
+      UNION ALL SELECT doc_id, l, i + 1, CASE WHEN {_GOES_ON} THEN done ELSE {_FLUSHED} END,
+             CASE WHEN {_GOES_ON} THEN held ELSE CASE WHEN cur IS NULL THEN held ELSE '' END || CASE WHEN {_ANSWER_ONLY.format(x='l[i]')} THEN l[i] ELSE '' END END,
+             CASE WHEN {_GOES_ON} THEN cur || l[i] WHEN {_ANSWER_ONLY.format(x='l[i]')} THEN NULL ELSE l[i] END, CASE WHEN {_GOES_ON} THEN taken + 1 ELSE 0 END FROM f WHERE i <= len(l)),
+    e AS (SELECT doc_id, CASE WHEN cur IS NULL AND held <> '' THEN list_append(done, held) ELSE {_FLUSHED} END AS o FROM f WHERE i = len(l) + 1)
+    SELECT doc_id, CAST(generate_subscripts(o, 1) - 1 AS INTEGER) AS no, unnest(o) AS line FROM e""")
 def merged_exam_lines(spark, d):
     return imports.merged_lines(segment.lines(table(spark, d, "documents")), "doc_id")
