@@ -84,7 +84,28 @@ def block_take_overshoot(spark, d):
     return quiz.take_blocks(b, ["bank"], ["block"], "size", 25)
 
 
-@plans.add()
+def _exact(sized: str, wanted: int) -> str:
+    """SQL of the exact selection from (bank, block, size, place): the fold over the blocks, one step a row. goal: what
+    blocks kept so far have to give up for block i, looked for from the latest one (k) on by the bits of their sums."""
+    return f"""
+    WITH RECURSIVE g AS (SELECT bank, list({{'b': block, 'n': size}} ORDER BY place) AS l FROM ({sized}) WHERE size BETWEEN 1 AND {wanted} GROUP BY bank),
+    f AS (SELECT bank, l, 1 AS i, l[1:0] AS kept, {wanted} AS open, CAST(1 AS BIGINT) AS sums, CAST(NULL AS INTEGER) AS goal, 0 AS k, CAST(1 AS BIGINT) AS mask, CAST([] AS INTEGER[]) AS away FROM g
+      UNION ALL SELECT bank, l, CASE WHEN goal IS NULL AND NOT done THEN i + 1 ELSE i END,
+        CASE WHEN goal IS NULL AND done AND n = open OR goal IS NULL AND NOT done AND n < open THEN list_append(kept, l[i])
+             WHEN goal IS NOT NULL AND hit AND goal = m THEN list_append(list_filter(kept, lambda x, j: NOT list_contains(list_append(away, len(kept) - k), j)), l[i]) ELSE kept END,
+        CASE WHEN goal IS NULL AND done AND n = open OR goal IS NOT NULL AND hit AND goal = m THEN 0 WHEN goal IS NULL AND NOT done AND n < open THEN open - n ELSE open END,
+        CASE WHEN goal IS NULL AND NOT done AND n < open THEN sums | (sums << n) ELSE sums END,
+        CASE WHEN goal IS NULL AND done AND n <> open THEN n - open WHEN goal IS NOT NULL AND hit THEN nullif(goal - m, 0) ELSE goal END,
+        CASE WHEN goal IS NOT NULL AND NOT hit THEN k + 1 ELSE 0 END, CASE WHEN goal IS NOT NULL AND NOT hit THEN wider ELSE 1 END,
+        CASE WHEN goal IS NOT NULL AND hit THEN list_append(away, CAST(len(kept) - k AS INTEGER)) WHEN goal IS NULL THEN [] ELSE away END
+      FROM (SELECT *, ((wider >> coalesce(goal, 0)) & 1) = 1 AS hit FROM (
+        SELECT *, CASE WHEN goal IS NULL OR m > goal THEN mask ELSE mask | (mask << m) END AS wider FROM (
+          SELECT *, CAST(l[i].n AS INTEGER) AS n, CASE WHEN goal IS NOT NULL THEN CAST(kept[len(kept) - k].n AS INTEGER) END AS m, ((sums >> ({wanted} - CAST(l[i].n AS INTEGER))) & 1) = 1 AS done
+          FROM f WHERE open > 0 AND i <= len(l)))))
+    SELECT bank, unnest(kept).b AS block FROM f WHERE goal IS NULL AND (open = 0 OR i > len(l))"""
+
+
+@plans.add(_exact(f"SELECT q.bank, x.block, x.size, x.block AS place FROM (SELECT block, max(block_size) AS size FROM ({BLOCKS}) GROUP BY block) x JOIN questions q ON q.row_id = x.block", 40))
 def block_take_exact(spark, d):
     b = quiz.blocks(table(spark, d, "questions").select("row_id", "bank", "groupid", "materials")).groupBy("bank", "block").agg(F.count("*").cast("int").alias("size"))
     return quiz.exact_selection(b, ["bank"], ["block"], "size", 40).select("bank", "block")
@@ -118,7 +139,17 @@ def material_text(spark, d):
     return q.select("row_id", rendering.material_text(F.col("materials")).alias("text"))
 
 
-@plans.add()
+_READ = BLOCKS.replace("FROM questions)", "FROM pool)")
+_KEYED = f"""
+    SELECT 0 AS bank, block, size, row_number() OVER (ORDER BY -ln({UNIFORM.format(seed='42', key='block')}) * (1.0 + times) * (1.0 + times), block) AS place
+    FROM (SELECT x.block, count(*) AS size, max(coalesce(n.times, 0)) AS times FROM ({_READ}) x JOIN pool p ON p.row_id = x.row_id
+      LEFT JOIN (SELECT bank, qid, count(*) AS times FROM ({LOG}) WHERE answered GROUP BY ALL) n ON n.bank = p.bank AND n.qid = p.id GROUP BY x.block)"""
+
+
+@plans.add(f"""
+    WITH pool AS (SELECT * FROM (SELECT *, {TYPE} AS qtype FROM questions) WHERE qtype IN ('sc', 'mc') AND (bank, id) NOT IN (SELECT bank, CAST(qid AS INTEGER) FROM overrides WHERE freescore)),
+    chosen AS ({_exact(_KEYED, 50)})
+    SELECT p.row_id, p.bank, p.id, x.block, p.qtype FROM pool p JOIN ({_READ}) x ON x.row_id = p.row_id WHERE x.block IN (SELECT block FROM chosen)""")
 def quiz_selection(spark, d):
     spec = quiz.QuizSpec(mode="random", num=50, types=("sc", "mc"), seed="42")
     tags = table(spark, d, "overrides").where("freescore").select("bank", "qid", F.lit("exclude").alias("tag"))
