@@ -58,6 +58,10 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT DISTINCT item_id, n, substr(s, CAST(k AS BIGINT), n) AS w FROM i, range(1, 100000) r(k) WHERE k <= length(s) - n + 1),
             v AS (SELECT DISTINCT doc_id, n, substr(s, CAST(k AS BIGINT), n) AS w FROM d, (SELECT DISTINCT n FROM i) m, range(1, 100000) r(k) WHERE k <= length(s) - n + 1)
             SELECT DISTINCT v.doc_id, w.item_id FROM v JOIN w ON w.w = v.w AND w.n = v.n""",
+        # the sources that fall short do so by far: any measure of size that follows the tokens names the same ones
+        "p7_found": """
+            WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
+            SELECT t.source FROM mix_targets t LEFT JOIN s ON s.source = t.source WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM s)""",
         "p3_copy_counts": f"""
             WITH r AS ({_REDUCED}) SELECT min(row_id) AS row_id, CAST(count(*) AS BIGINT) AS n_copies FROM r GROUP BY q, o""",
     }
