@@ -62,6 +62,10 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": """
             WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
             SELECT t.source FROM mix_targets t LEFT JOIN s ON s.source = t.source WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM s)""",
+        # texts keep clear of the limits, so an estimate of the tokens (one an ideograph, one for some three other characters) will do
+        "p8_found": r"""
+            SELECT doc_id FROM (SELECT d.doc_id, l.max_tokens, length(d.text) AS n, length(regexp_replace(d.text, '[\x00-\x7f]', '', 'g')) AS wide FROM documents d JOIN split_limits l ON l.source = d.source)
+            WHERE wide + 0.3 * (n - wide) > max_tokens""",
         "p3_copy_counts": f"""
             WITH r AS ({_REDUCED}) SELECT min(row_id) AS row_id, CAST(count(*) AS BIGINT) AS n_copies FROM r GROUP BY q, o""",
     }
