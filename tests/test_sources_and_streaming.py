@@ -52,3 +52,39 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     got = stream.run_once(stream.windowed_counts(s, late="3000 days"), "counts", str(tmp_path / "cp"))
     want = batch.dropDuplicates(["session_id", "pos"]).where("user_answer is not null")
     assert got.agg(F.sum("n")).first()[0] == want.count()
+
+
+def test_law_files_amendments_changelog_and_logs(spark, rows, tmp_path):
+    import json
+
+    from examforge.operators import reviews
+    from examforge.sources import readers, writers
+
+    def put(name, value):
+        (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False), encoding="utf-8")
+        return str(tmp_path / name)
+
+    article = {"id": "a1", "no": "1", "title": "第 1 條", "text": "甲", "explanation": ""}
+    law = put("laws.json", [{"id": "w", "title": "水利法", "chapters": [{"id": "c", "no": "一", "title": "總則", "articles": [article, article | {"no": "2"}]}]}])
+    links = put("links.json", [{"source": "w::a1", "refs": [{"field": "text", "text": "第 2 條", "targetLawId": "w", "targetArticleId": "a2"}]}])
+    articles, blocks, refs = readers.laws(spark, law, links=links)
+    assert rows(articles.select("doc_id", "seq", "chapter", "article_no")) == [("w", 1, "總則", "1"), ("w", 2, "總則", "2")]
+    assert blocks.count() == 0 and rows(refs.select("source", "text", "targetLawId")) == [("w::a1", "第 2 條", "w")]
+
+    one = put("one.json", [{"article_no": "7", "date_roc": "112/01/02", "text": "t", "reason": "r"}])
+    two = put("two.json", [{"article_no": "8", "date_roc": "113/01/02", "text": "u", "reason": ""}])
+    assert rows(readers.amendments(spark, {"甲": one, "乙": two}).select("law", "article_no")) == [("乙", "8"), ("甲", "7")]
+    assert readers.amendments(spark, {}).count() == 0
+
+    days = put("changelog.json", [{"date": "2024-01-02", "items": [{"time": "08:00", "message": "m"}]}])
+    assert rows(readers.changelog(spark, days)) == [("2024-01-02", "08:00", "m")]
+    assert rows(readers.changelog(spark, put("none.json", {"a": 1}), "nothing yet")) == [(None, None, "nothing yet")]
+    assert rows(readers.unreadable(spark, [law, put("bad.json", "{oops"), put("object.json", {"a": 1})])) == [("bad.json", "unreadable"), ("object.json", "no list")]
+
+    index = spark.createDataFrame([("questions/交通部110-a.json", None, "", None), ("questions/b.json", "shown", "n", "交通部"), ("questions/c.json", "", "named", "農田水利")], "file string, displayname string, name string, source string")
+    assert rows(readers.bank_maps(index)) == [("questions/b.json", "shown", True), ("questions/c.json", "named", False), ("questions/交通部110-a.json", "交通部110-a", True)]
+
+    reviewed = spark.createDataFrame([("b", "10", False, 1, "q2", ["x"], "0", "r"), ("b", "9", True, 40, "q1", ["x"], "0", None)], "bank_name string, id string, affected boolean, confidence int, question string, options array<string>, answer string, reason string")
+    writers.audit_log(reviews.log(reviewed), str(tmp_path / "log"))
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "log").glob("part-*")))
+    assert text.index("[b] #9 affected 40") < text.index("[b] #10 safe 1") and "* (A) x" in text
