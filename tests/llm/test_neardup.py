@@ -90,3 +90,52 @@ def test_parts_of_large_classes_and_hot_keys_lose_nothing(questions, rows, monke
     left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k int, v int")
     right = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "k int, t string")
     assert rows(hot_join(left, right, "k", "v", hot=5)) == rows(left.join(right, "k"))
+
+
+def test_ordered_sets_and_packed_rows_against_single_texts():
+    texts = ["", "ab", *("".join([plain(q), *sorted(map(plain, o))]) for _, q, o in made(60, 2))]
+    counts = np.random.default_rng(1).integers(2, 9, 1 << 10)
+    text, tokens, often = neardup._ordered(texts, counts)
+    for i, x in enumerate(texts):
+        one = neardup.shingles(x)
+        count = counts[neardup._rarity(one, len(counts))]
+        assert tokens[text == i].tolist() == one[np.lexsort((one, count))].tolist()
+    e = neardup._prefixes(texts, counts, 0.7)
+    assert len(e["text"]) == sum(len(s) - int(np.ceil(0.7 * len(s) - 1e-9)) + 1 for s in map(neardup.shingles, texts) if len(s))
+    rows = {k: v for k, v in e.items() if k not in ("text", "token")}
+    rows |= {"id": e["text"], "list": (e["token"] % 97).astype(np.uint32) << np.uint32(24), "side": np.full(len(e["text"]), 2, np.uint8)}
+    packed = neardup._packed(rows, 8, 0.7).to_pydict()
+    back = {}
+    for blob in zip(packed["n"], packed["rows"], packed["bits"]):
+        for k, v in neardup._unpacked_rows([blob], 0.7).items():
+            back.setdefault(k, []).extend(v.tolist())
+    wide = neardup._wide(rows["size"], rows["pos"], 0.7)
+    full = {k: (np.where(wide, v, 0) if k in neardup._BITS[2:] else v).tolist() for k, v in rows.items()}
+    assert sorted(zip(*(back[k] for k in full))) == sorted(zip(*full.values()))
+
+
+@pytest.mark.parametrize("short", [10_000, 0])
+def test_what_stands_in_front_counts_as_different(monkeypatch, short):
+    # 100 shingles each, 15 in front of the first common one: 5 more may differ behind it, but the bitmaps differ in 20
+    monkeypatch.setattr(neardup, "SHORT", short)
+    e = {"id": np.arange(2), "size": np.full(2, 100, np.int32), "pos": np.full(2, 15, np.int32)} | {b: np.zeros(2, np.uint64) for b in neardup._BITS}
+    count = lambda: sum(len(x) for x, _ in neardup.list_pairs(e, np.array([0]), 0.7))
+    assert count() == 1
+    e["b0"][1] = 2**20 - 1
+    assert count() == 0
+
+
+def test_a_table_of_one_vocabulary_needs_few_candidates_and_little_room(spark):
+    # every text has the same 40 words in another order and other numbers: all meet in the lists, none is similar
+    r = random.Random(5)
+    words = ["".join(chr(0x4E00 + r.randrange(300)) for _ in range(3)) for _ in range(40)]
+    texts = ["".join(r.sample(words, 25)) + str(r.randrange(10**6)) for _ in range(3000)]
+    counts = np.maximum(np.bincount(np.concatenate([neardup._rarity(neardup.shingles(x), 1 << 20) for x in texts]), minlength=1 << 20), 1)
+    e = neardup._prefixes(texts, counts, 0.7)
+    rows = {k: v for k, v in e.items() if k not in ("text", "token")} | {"id": e["text"], "side": np.full(len(e["text"]), 2, np.uint8)}
+    rows["list"] = (neardup.mix64(e["token"].view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    packed = neardup._packed(rows, 1, 0.7).to_pydict()
+    assert len(packed["rows"][0]) + len(packed["bits"][0]) < 32 * packed["n"][0]
+    back = neardup._unpacked_rows([(packed["n"][0], packed["rows"][0], packed["bits"][0])], 0.7)
+    starts = np.flatnonzero(np.append(True, back["list"][1:] != back["list"][:-1]))
+    assert sum(len(x) for x, _ in neardup.list_pairs(back, starts, 0.7)) < len(texts) // 10
